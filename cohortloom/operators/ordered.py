@@ -9,6 +9,7 @@ how the work is spread; every row takes part in the result.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
 from math import ceil
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,42 +20,53 @@ from cohortloom.runtime import materialize
 ROWS_PER_WINDOW = 1_000_000
 CUT_SAMPLE = 4_000
 
-
-def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
-    """Add the columns of a global aggregate, which has exactly one row, to every row of ``df``."""
-    one = F.lit(1)
-    return df.withColumn("_one_row", one).join(F.broadcast(row.withColumn("_one_row", one)), "_one_row").drop("_one_row")
-
-
 _AGGREGATES = {"sum": F.sum, "product": F.product, "min": F.min, "max": F.max}
+_IDENTITY = {"sum": 0, "product": 1.0}
 
 
-def _joined(kind: str, before: Column, inside: Column) -> Column:
-    if kind == "sum":
-        return F.coalesce(before, F.lit(0)) + inside
-    if kind == "product":
-        return F.coalesce(before, F.lit(1.0)) * inside
-    return (F.least if kind == "min" else F.greatest)(before, inside)
+@dataclass(frozen=True)
+class OrderPlan:
+    """How a written table is spread: no cut points means that one window per key is small enough."""
 
+    rows: int
+    cuts: list = field(default_factory=list)
 
-def cut_points(df: DataFrame, order: list[str], rows: int, ranges: int) -> list:
-    """About ``ranges - 1`` values of the ``order`` columns that split ``df`` evenly."""
+
+def plan_order(written: DataFrame, order: list[str], rows_per_window: int = ROWS_PER_WINDOW) -> OrderPlan:
+    """Size and, for a large table, cut points of a table that is cheap to read again."""
+    rows = written.count()
+    if rows <= rows_per_window:
+        return OrderPlan(rows)
+    ranges = max(2, ceil(2 * rows / rows_per_window))
     step = max(1, ceil(rows / CUT_SAMPLE))
-    sample = df.where(F.pmod(F.xxhash64(*order), F.lit(step)) == 0).select(*order).distinct()
+    sample = written.where(F.pmod(F.xxhash64(*order), F.lit(step)) == 0).select(*order).distinct()
     picked = sorted(tuple(row) for row in sample.collect())
     stride = max(1, len(picked) // ranges)
-    return picked[stride::stride]
+    return OrderPlan(rows, picked[stride::stride])
 
 
 def range_number(df: DataFrame, order: list[str], cuts: list) -> Column:
     """How many cut points are not above the row, by comparison of the ``order`` columns as one struct."""
     here = F.struct(*[F.col(c) for c in order])
     types = [df.schema[c].dataType for c in order]
-    number = F.lit(0)
-    for cut in cuts:
-        edge = F.struct(*[F.lit(v).cast(t).alias(c) for c, v, t in zip(order, cut, types)])
-        number = number + F.when(here >= edge, 1).otherwise(0)
-    return number
+    edges = F.array(
+        *[F.struct(*[F.lit(v).cast(t).alias(c) for c, v, t in zip(order, cut, types)]) for cut in cuts]
+    )
+    return F.size(F.filter(edges, lambda edge: edge <= here))
+
+
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a global aggregate, which has exactly one row, to every row of ``df``."""
+    one = F.lit(1)
+    return df.withColumn("_one_row", one).join(F.broadcast(row.withColumn("_one_row", one)), "_one_row").drop("_one_row")
+
+
+def _joined(kind: str, before: Column, inside: Column) -> Column:
+    if kind == "sum":
+        return F.coalesce(before, F.lit(0)) + inside
+    if kind == "product":
+        return F.coalesce(before, F.lit(1.0)) * inside
+    return (F.least if kind == "min" else F.greatest)(before, inside)
 
 
 def running(
@@ -63,49 +75,53 @@ def running(
     order: list[str],
     measures: dict[str, tuple[str, str]],
     reverse: bool = False,
+    plan: OrderPlan | None = None,
     rows_per_window: int = ROWS_PER_WINDOW,
 ) -> DataFrame:
     """Add running aggregates, from the first row to the current one (or from the last one if ``reverse``).
 
     ``df`` needs one row per (keys, order) and no null among the ``order`` columns.
-    ``measures`` maps an output name to (sum | product | min | max, input column).
+    ``measures`` maps an output name to (kind, input column) with kind sum, product, min or max;
+    ``sum_before`` and ``product_before`` leave out the current row. With a ``plan`` the caller says
+    that ``df`` is cheap to compute again and how to spread it.
     """
-    written = materialize(df, "ordered")
-    rows = written.count()
+    if plan is None:
+        df = materialize(df, "ordered")
+        plan = plan_order(df, order, rows_per_window)
     direction = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
 
-    def along(partition: list[str]):
-        return Window.partitionBy(*partition).orderBy(*direction).rowsBetween(Window.unboundedPreceding, 0)
-
-    if rows <= rows_per_window:
-        return written.withColumns(
-            {out: _AGGREGATES[kind](col).over(along(keys)) for out, (kind, col) in measures.items()}
+    def along(partition: list[str], measure: str, column: str) -> Column:
+        kind, _, before = measure.partition("_")
+        frame = Window.partitionBy(*partition).orderBy(*direction).rowsBetween(
+            Window.unboundedPreceding, -1 if before else 0
         )
+        value = _AGGREGATES[kind](column).over(frame)
+        return F.coalesce(value, F.lit(_IDENTITY[kind])) if before else value
 
-    ranges = max(2, ceil(2 * rows / rows_per_window))
-    cuts = cut_points(written, order, rows, ranges)
-    ranged = written.withColumn("_range", range_number(written, order, cuts))
+    if not plan.cuts:
+        return df.withColumns({out: along(keys, kind, col) for out, (kind, col) in measures.items()})
+
+    kinds = {out: kind.partition("_")[0] for out, (kind, _) in measures.items()}
+    ranged = df.withColumn("_range", range_number(df, order, plan.cuts))
     totals = ranged.groupBy(*keys, "_range").agg(
-        *[_AGGREGATES[kind](col).alias(f"_all_{out}") for out, (kind, col) in measures.items()]
+        *[_AGGREGATES[kinds[out]](col).alias(f"_all_{out}") for out, (_, col) in measures.items()]
     )
     next_range = F.col("_range").desc() if reverse else F.col("_range").asc()
     earlier = Window.partitionBy(*keys).orderBy(next_range).rowsBetween(Window.unboundedPreceding, -1)
     before = totals.select(
         *keys,
         "_range",
-        *[_AGGREGATES[kind](f"_all_{out}").over(earlier).alias(f"_before_{out}") for out, (kind, _) in measures.items()],
+        *[_AGGREGATES[kinds[out]](f"_all_{out}").over(earlier).alias(f"_before_{out}") for out in measures],
     )
     inside = ranged.withColumns(
-        {f"_in_{out}": _AGGREGATES[kind](col).over(along([*keys, "_range"])) for out, (kind, col) in measures.items()}
+        {f"_in_{out}": along([*keys, "_range"], kind, col) for out, (kind, col) in measures.items()}
     )
     same = inside.alias("i").join(
-        before.alias("b"),
-        on=[F.col(f"i.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_range"]],
-        how="inner",
+        before.alias("b"), on=[F.col(f"i.{k}").eqNullSafe(F.col(f"b.{k}")) for k in [*keys, "_range"]], how="inner"
     )
     return same.select(
         *[F.col(f"i.{c}") for c in df.columns],
-        *[_joined(kind, F.col(f"_before_{out}"), F.col(f"_in_{out}")).alias(out) for out, (kind, _) in measures.items()],
+        *[_joined(kinds[out], F.col(f"_before_{out}"), F.col(f"_in_{out}")).alias(out) for out in measures],
     )
 
 
@@ -115,16 +131,14 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], out: str = "rn",
     return counted.drop("_one")
 
 
-def quantiles(
-    df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], **options
-) -> DataFrame:
+def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float], **options) -> DataFrame:
     """Exact quantiles with linear interpolation per ``keys``; null values do not count.
 
     Equal values are counted before the shuffle, so a hot key costs its distinct values, not its rows.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     ranked = running(counts, keys, [value], {"_upto": ("sum", "_n")}, **options)
-    # Values at the two positions around each probability need the group size: one row per key.
+    # The two positions around each probability need the group size: one row per key.
     sizes = ranked.groupBy(*keys).agg(F.max("_upto").alias("_size"))
     sized = ranked.join(sizes, keys) if keys else with_row(ranked, sizes)
     outputs = []
@@ -132,6 +146,6 @@ def quantiles(
         position = F.lit(float(p)) * (F.col("_size") - 1)
         low = F.min(F.when(F.col("_upto") > F.floor(position), F.col(value)))
         high = F.min(F.when(F.col("_upto") > F.ceil(position), F.col(value)))
-        share = F.first(position - F.floor(position))
+        share = F.max(position - F.floor(position))
         outputs.append((low + (high - low) * share).alias(name))
     return sized.groupBy(*keys).agg(*outputs)
