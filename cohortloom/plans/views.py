@@ -51,13 +51,13 @@ VIEWS = {
              JOIN {{customer}} ON o_custkey = c_custkey JOIN {{part}} ON l_partkey = p_partkey""",
     "fx_survival": """
         SELECT o_orderkey AS sample, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS os,
-               (YEAR(o_orderdate) - 1995) * 372 + (MONTH(o_orderdate) - 1) * 31 + DAY(o_orderdate) AS os_time,
+               CAST((YEAR(o_orderdate) - 1995) * 372 + (MONTH(o_orderdate) - 1) * 31 + DAY(o_orderdate) AS BIGINT) AS os_time,
                CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 0 ELSE 1 END AS grp
         FROM {orders}""",
     "fx_cox": """
         SELECT o_orderkey AS sample, 'Feature' || CAST(l_linenumber AS STRING) AS feature, MAX(l_quantity) AS x,
                MAX(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS os,
-               MAX((YEAR(o_orderdate) - 1995) * 372 + (MONTH(o_orderdate) - 1) * 31 + DAY(o_orderdate)) AS os_time
+               CAST(MAX((YEAR(o_orderdate) - 1995) * 372 + (MONTH(o_orderdate) - 1) * 31 + DAY(o_orderdate)) AS BIGINT) AS os_time
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey GROUP BY 1, 2""",
     "fx_counts": """
         SELECT l_suppkey % 20 AS sample, l_suppkey % 2 AS grp, p_brand || '|' || p_type AS gene,
