@@ -12,8 +12,8 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
-_lgamma = np.frompyfunc(math.lgamma, 1, 1)
 _erfc = np.frompyfunc(math.erfc, 1, 1)
 TINY = 1e-300
 
@@ -133,26 +133,26 @@ def _over_known(function, *columns: pd.Series) -> pd.Series:
     return pd.Series(out).where(pd.Series(known), None).astype("Float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return _over_known(chi2_sf, x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return _over_known(t_sf2, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_p(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _over_known(f_sf, f, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return _over_known(normal_sf2, z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def digamma_of(x: pd.Series) -> pd.Series:
     return _over_known(digamma, x)

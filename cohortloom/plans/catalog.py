@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from cohortloom.plans import catalog_analysis, catalog_relational, catalog_sources  # noqa: F401
+from cohortloom.plans import catalog_analysis, catalog_relational, catalog_sources, catalog_stats  # noqa: F401
 from cohortloom.plans.registry import ORACLE, QUERIES  # noqa: F401
