@@ -1,4 +1,10 @@
 """All registered queries."""
 
-from cohortloom.plans import catalog_analysis, catalog_relational, catalog_sources, catalog_stats  # noqa: F401
+from cohortloom.plans import (  # noqa: F401
+    catalog_analysis,
+    catalog_learning,
+    catalog_relational,
+    catalog_sources,
+    catalog_stats,
+)
 from cohortloom.plans.registry import ORACLE, QUERIES  # noqa: F401

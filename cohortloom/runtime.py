@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 _local_scratch: dict[str, str] = {}
@@ -52,3 +55,9 @@ def has_at_most(df: DataFrame, rows: int) -> bool:
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Rows of all frames by column name; a column missing in one of them is null there."""
     return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), frames)
+
+
+def side_by_side(calls: list[Callable], at_once: int = 8) -> list:
+    """Results of independent calls that each submit Spark jobs, run from a few threads."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(call)) for call in calls]]
