@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortloom.functions.dist import digamma_of, f_p, t_p
@@ -77,12 +77,39 @@ def anova_f(matrix: DataFrame, label: str) -> DataFrame:
     classes = cells.groupBy("feature", label).agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var")
     )
-    grand = classes.groupBy("feature").agg(
+    return _f_of_classes(classes, ["feature"])
+
+
+def anova_f_without_fold(matrix: DataFrame, label: str, dealt: DataFrame, folds: int) -> DataFrame:
+    """F per (repeat, held, feature) on the samples outside fold ``held``, for all folds in one pass over the cells.
+
+    Moments are taken once per fold and class; those of the other folds are merged, at most ``folds`` rows at a time.
+    """
+    cells = matrix.where(F.col("value").isNotNull()).join(dealt.select("sample", "repeat", "fold"), "sample")
+    moments = cells.groupBy("feature", "repeat", "fold", label).agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.var_pop("value").alias("var")
+    )
+    others = F.array_except(F.sequence(F.lit(0), F.lit(folds - 1)), F.array("fold"))
+    spread = moments.withColumn("held", F.explode(others))
+    keys = ["repeat", "held", "feature"]
+    together = Window.partitionBy(*keys, label)
+    centre = F.sum(F.col("n") * F.col("mean")).over(together) / F.sum("n").over(together)
+    merged = spread.withColumn("centre", centre).groupBy(*keys, label).agg(
+        F.sum(F.col("n") * (F.col("var") + F.pow(F.col("mean") - F.col("centre"), F.lit(2)))).alias("squares"),
+        F.sum("n").alias("n"),
+        F.max("centre").alias("mean"),
+    )
+    return _f_of_classes(merged.withColumn("var", F.col("squares") / F.col("n")).drop("squares"), keys)
+
+
+def _f_of_classes(classes: DataFrame, keys: list[str]) -> DataFrame:
+    """F, degrees of freedom and p from one row (n, mean, var) per key and class."""
+    grand = classes.groupBy(*keys).agg(
         F.sum("n").alias("total"),
         F.count(F.lit(1)).alias("groups"),
         (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand"),
     )
-    sums = classes.join(grand, "feature").groupBy("feature").agg(
+    sums = classes.join(grand, keys).groupBy(*keys).agg(
         F.max("total").alias("total"),
         F.max("groups").alias("groups"),
         F.sum(F.col("n") * F.pow(F.col("mean") - F.col("grand"), F.lit(2))).alias("between"),
@@ -91,7 +118,7 @@ def anova_f(matrix: DataFrame, label: str) -> DataFrame:
     d1, d2 = F.col("groups") - 1, F.col("total") - F.col("groups")
     usable = (d1 > 0) & (d2 > 0) & (F.col("within") > 0)
     f = F.when(usable, (F.col("between") / d1) / (F.col("within") / d2))
-    return sums.select("feature", f.alias("f"), d1.alias("d1"), d2.alias("d2")).withColumn(
+    return sums.select(*keys, f.alias("f"), d1.alias("d1"), d2.alias("d2")).withColumn(
         "p", f_p("f", F.col("d1").cast("double"), F.col("d2").cast("double"))
     )
 

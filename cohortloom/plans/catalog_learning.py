@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from cohortloom.operators import cluster, embed, impute
+from cohortloom.operators import cluster, embed, impute, select
 from cohortloom.plans.registry import query
 from cohortloom.plans.views import view, with_views
 from cohortloom.runtime import scratch_path
@@ -130,3 +130,57 @@ def sink_model(spark, sf_dir):
     path = scratch_path(spark, "model")
     embed.save(trained, spark, path)
     return embed.as_features(embed.predict(vectors, embed.load(spark, path, trained.network)))
+
+
+# ----------------------------------------------------------- feature selection
+
+
+def labelled_cells(spark, sf_dir):
+    """The labelled vectors in long form with their two-class label."""
+    rows = view(spark, sf_dir, "fx_cells").select("sample", "grp", F.posexplode("embedding").alias("at", "value"))
+    return rows.select("sample", "grp", F.concat(F.lit("Feature"), F.col("at") + 1).alias("feature"), F.col("value").cast("double").alias("value"))
+
+
+def _summary(spark, selection, method):
+    """Selected features with the number chosen and the cross-validated score."""
+    return selection.features.select(
+        F.lit(method).alias("method"), "feature", "rank", F.round("score", 9).alias("score"),
+        F.lit(selection.count).alias("n_selected"), F.round(F.lit(selection.score), 6).alias("f1"),
+    )
+
+
+@query("select_k_best")
+def select_k_best(spark, sf_dir):
+    found = select.select_features(labelled_cells(spark, sf_dir), "grp", "anova", folds=5, repeats=1, counts=[16, 32, 48])
+    return _summary(spark, found, "anova")
+
+
+@query("select_rf_importance")
+def select_rf_importance(spark, sf_dir):
+    found = select.select_features(labelled_cells(spark, sf_dir), "grp", "rf", folds=3, repeats=1, counts=[16, 32], trees=20)
+    return _summary(spark, found, "rf")
+
+
+@query("select_boosted_importance")
+def select_boosted_importance(spark, sf_dir):
+    found = select.select_features(labelled_cells(spark, sf_dir), "grp", "boosted", folds=2, repeats=1, counts=[16, 32], trees=5)
+    return _summary(spark, found, "boosted")
+
+
+@query("classify_linear_svm")
+def classify_linear_svm(spark, sf_dir):
+    """Fit on all vectors; predicted and true class of each."""
+    packed = select.pack(labelled_cells(spark, sf_dir), "grp")
+    return select.linear_svm(packed.rows).transform(packed.rows).select("sample", "label", "prediction")
+
+
+@query("feature_selection_run")
+def feature_selection_run(spark, sf_dir):
+    """ANOVA and forest selection of three data types: thirds of the vector's positions stand for them."""
+    cells = labelled_cells(spark, sf_dir).withColumn("type", F.regexp_extract("feature", "[0-9]+", 0).cast("int") % 3)
+    types = {name: cells.where(F.col("type") == at).drop("type") for at, name in enumerate(("rna", "mirna", "mt"))}
+    found = select.select_for_types(
+        types, "grp", anova_folds=3, forest_folds=2, trees=10, common={"repeats": 1, "counts": [8, 16]}
+    )
+    rows = [(name, method, s.count, round(s.score, 6)) for (name, method), s in found.items()]
+    return spark.createDataFrame(rows, "data_type string, method string, n_selected int, f1 double")

@@ -57,7 +57,8 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), frames)
 
 
-def side_by_side(calls: list[Callable], at_once: int = 8) -> list:
+def side_by_side(spark: SparkSession, calls: list[Callable], at_once: int = 8) -> list:
     """Results of independent calls that each submit Spark jobs, run from a few threads."""
+    in_session = inheritable_thread_target(spark)
     with ThreadPoolExecutor(at_once) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(call)) for call in calls]]
+        return [f.result() for f in [pool.submit(in_session(call)) for call in calls]]
