@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_erfc = np.frompyfunc(math.erfc, 1, 1)
 TINY = 1e-300
 
 
@@ -45,9 +44,20 @@ def digamma(x) -> np.ndarray:
     return total + np.log(z) - 0.5 / z - s * (1 / 12 - s * (1 / 120 - s * (1 / 252 - s * (1 / 240 - s / 132))))
 
 
+def trigamma(x) -> np.ndarray:
+    x = np.asarray(x, dtype=float)
+    total, z = np.zeros_like(x), x.copy()
+    for _ in range(8):
+        low = z < 8
+        total = np.where(low, total + 1 / np.where(low, z, 1.0) ** 2, total)
+        z = np.where(low, z + 1, z)
+    s = 1 / (z * z)
+    return total + 1 / z + s / 2 + (s / z) * (1 / 6 - s * (1 / 30 - s * (1 / 42 - s / 30)))
+
+
 def normal_sf2(z) -> np.ndarray:
-    """Two-sided normal tail."""
-    return _erfc(np.abs(np.asarray(z, dtype=float)) / math.sqrt(2)).astype(float)
+    """Two-sided normal tail: a chi-square tail of the square."""
+    return chi2_sf(np.square(np.asarray(z, dtype=float)), 1.0)
 
 
 def beta_inc(a, b, x) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from cohortloom.plans import (  # noqa: F401
     catalog_analysis,
+    catalog_expression,
     catalog_learning,
     catalog_relational,
     catalog_sources,
