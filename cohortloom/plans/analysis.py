@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cohortloom.functions.scalar import sample_type
+from cohortloom.operators.annotate import annotate_genes
+from cohortloom.operators.diffexp import consensus, two_sided_effect, wide_by_run
+from cohortloom.operators.nbtest import run_tests
 from cohortloom.operators.ordered import quantiles, with_row
+from cohortloom.operators.survival import km_summary
+from cohortloom.runtime import materialize
 
 F1_PAIRS = [("rna_anova", "rna_rf"), ("mirna_anova", "mirna_rf"), ("meth_anova", "meth_rf")]
 
@@ -67,3 +74,63 @@ def select_best_subgroups(scores: DataFrame, choice: RunChoice = RunChoice()) ->
     """Runs past every threshold, at most ``draw`` of them by seeded draw, best silhouette first."""
     drawn = sample_k_seeded(filter_best_runs(scores, choice), "run_id", choice.draw, choice.seed)
     return drawn.orderBy(F.desc("silhouette"), "run_id")
+
+
+# --------------------------------------------------------------------------- differential analysis of the chosen runs
+
+
+@dataclass(frozen=True)
+class DiffChoice:
+    """Method and cuts of the differential analysis."""
+
+    method: str = "deseq2"
+    log2fc: float = 1.0
+    fdr: float = 0.05
+    normal_p: float = 0.1
+    batch_removal: bool = True
+
+
+def oriented_groups(groups: DataFrame, survival: DataFrame) -> DataFrame:
+    """(run_id, sample, group) with 0 and 1 swapped in the runs whose group 0 is not the longer survivor."""
+    joined = groups.join(survival.select("sample", "os", "os_time"), "sample", "left")
+    both = joined.withColumn("side", F.struct("run_id", F.col("group").alias("g")))
+    summary = km_summary(both, "side", "os_time", "os")
+    flags = summary.groupBy(F.col("grp.run_id").alias("run_id")).agg(
+        F.max(F.when(F.col("grp.g") == 0, F.col("rmst"))).alias("rmst_0"),
+        F.max(F.when(F.col("grp.g") == 1, F.col("rmst"))).alias("rmst_1"),
+    )
+    swap = F.coalesce(~(F.col("rmst_0") > F.col("rmst_1")), F.lit(True))
+    return groups.join(flags, "run_id").select(
+        "run_id", "sample", F.when(swap, 1 - F.col("group")).otherwise(F.col("group")).alias("group")
+    )
+
+
+def subgroup_consensus(counts: DataFrame, groups: DataFrame, choice: DiffChoice = DiffChoice()) -> tuple[DataFrame, DataFrame]:
+    """Cut results of all runs in long form, and the consensus over the runs per gene."""
+    tested = run_tests(counts, groups, "group", choice.method, choice.batch_removal)
+    cut = materialize(two_sided_effect(tested, choice.log2fc, choice.fdr), "cut")
+    runs = groups.select("run_id").distinct().count()
+    return cut, consensus(cut, runs * (2 if choice.method == "all" else 1))
+
+
+def tumor_normal(counts: DataFrame, barcode: str, choice: DiffChoice = DiffChoice()) -> DataFrame:
+    """(gene, nt_tp_log2fc, nt_tp_pvalue) of tumour against normal tissue by the barcode's sample code."""
+    kind = sample_type(F.col(barcode))
+    design = counts.select(F.col(barcode).alias("sample"), F.when(kind == "TP", 1).when(kind == "NT", 0).alias("group"))
+    cells = counts.select("gene", F.col(barcode).alias("sample"), "cnt")
+    design = design.where("group IS NOT NULL").distinct().withColumn("run_id", F.lit(0))
+    tested = run_tests(cells, design, "group", "deseq2", choice.batch_removal)
+    cut = two_sided_effect(tested, 0.0, choice.normal_p, p="pvalue")
+    return cut.select("gene", F.col("log2fc").alias("nt_tp_log2fc"), F.col("pvalue").alias("nt_tp_pvalue"))
+
+
+def analysis_table(cut: DataFrame, summary: DataFrame, runs: list, normal: DataFrame, annotations: list[DataFrame]) -> DataFrame:
+    """The final table: per-run columns, consensus, tumour against normal, and all annotations, by gene."""
+    wide = wide_by_run(cut, runs, {"log2FoldChange": "log2fc", "padj": "padj"})
+    return annotate_genes(wide.join(summary, "gene"), [normal, *annotations])
+
+
+def text_mining(tables: dict[str, DataFrame]) -> DataFrame:
+    """Text-mining tables of one or more cohorts, outer-joined on gene; every column keeps its table's name."""
+    named = [df.toDF("gene", *[f"{name}_{c}" for c in df.columns[1:]]) for name, df in tables.items()]
+    return reduce(lambda left, right: left.join(right, "gene", "full"), named)

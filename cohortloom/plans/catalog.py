@@ -4,6 +4,7 @@ from cohortloom.plans import (  # noqa: F401
     catalog_analysis,
     catalog_expression,
     catalog_learning,
+    catalog_pipeline,
     catalog_relational,
     catalog_sources,
     catalog_stats,

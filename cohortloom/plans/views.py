@@ -91,6 +91,19 @@ VIEWS = {
                l_returnflag AS interaction_type
         FROM {lineitem} JOIN {part} ON l_partkey = p_partkey JOIN {supplier} ON l_suppkey = s_suppkey""",
     "fx_cells": "SELECT vec_id AS sample, label, label % 2 AS grp, embedding FROM {embeddings}",
+    "fx_sample_survival": """
+        SELECT 'S' || CAST(l_suppkey AS STRING) AS sample,
+               CASE WHEN MOD(SUM(l_partkey), 3) = 0 THEN 0 ELSE 1 END AS os,
+               CAST(MOD(SUM(l_orderkey), 3000) + 1 AS BIGINT) AS os_time
+        FROM {lineitem} GROUP BY 1""",
+    "fx_sample_burden": """
+        SELECT 'S' || CAST(l_suppkey AS STRING) AS sample,
+               LOG2(SUM(CASE WHEN l_linenumber IN (1, 2, 4, 5, 7) THEN 1 ELSE 0 END) / 38e0 + 1) AS total_per_mb_log
+        FROM {lineitem} GROUP BY 1""",
+    "fx_run_groups": """
+        SELECT DISTINCT l_linenumber AS run_id, l_suppkey % 20 AS sample,
+               CASE WHEN (l_suppkey % 20 + l_linenumber) % 4 < 2 THEN 0 ELSE 1 END AS grp
+        FROM {lineitem}""",
     "fx_links": """
         SELECT p_brand || '|' || p_type AS gene, 'E' || CAST(p_partkey AS STRING) AS entry,
                CASE WHEN p_size % 3 = 0 THEN 'unreviewed' ELSE 'reviewed' END AS reviewed,
