@@ -51,7 +51,8 @@ def log2p1(value: Column) -> Column:
 
 
 def percent_text(part: Column, whole: Column) -> Column:
-    return F.format_string("%.1f%%", part * 100.0 / F.nullif(whole, F.lit(0)))
+    share = part * 100.0 / F.nullif(whole, F.lit(0))
+    return F.when(share.isNotNull(), F.format_string("%.1f%%", share))
 
 
 def floor_fraction(count: Column, ratio: float) -> Column:

@@ -149,8 +149,8 @@ def region_labels(regions: DataFrame, fill: list[str]) -> DataFrame:
     if "number" in fill:
         parts.append(F.col("n").cast("string"))
     if "percent" in fill:
-        share = 100.0 * F.col("n") / F.nullif(F.col("union_size"), F.lit(0))
-        parts.append(F.coalesce(F.format_string("(%.1f%%)", share), F.lit("")))
+        share = F.when(F.col("union_size") > 0, 100.0 * F.col("n") / F.nullif(F.col("union_size"), F.lit(0)))
+        parts.append(F.when(share.isNotNull(), F.format_string("(%.1f%%)", share)).otherwise(""))
     return regions.withColumn("label", F.concat(*parts) if parts else F.lit(""))
 
 

@@ -10,7 +10,7 @@ how the work is spread; every row takes part in the result.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from math import ceil
+from math import ceil, isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from cohortloom.runtime import materialize
 
 ROWS_PER_WINDOW = 1_000_000
-CUT_SAMPLE = 4_000
+CUT_SAMPLE = 20_000
+MOST_RANGES = 2_000  # beyond that a range is a sort that spills, not a larger plan
 
 _AGGREGATES = {"sum": F.sum, "product": F.product, "min": F.min, "max": F.max}
 _IDENTITY = {"sum": 0, "product": 1.0}
@@ -37,7 +38,7 @@ def plan_order(written: DataFrame, order: list[str], rows_per_window: int = ROWS
     rows = written.count()
     if rows <= rows_per_window:
         return OrderPlan(rows)
-    ranges = max(2, ceil(2 * rows / rows_per_window))
+    ranges = min(MOST_RANGES, max(2, ceil(2 * rows / rows_per_window)))
     step = max(1, ceil(rows / CUT_SAMPLE))
     sample = written.where(F.pmod(F.xxhash64(*order), F.lit(step)) == 0).select(*order).distinct()
     picked = sorted(tuple(row) for row in sample.collect())
@@ -46,13 +47,22 @@ def plan_order(written: DataFrame, order: list[str], rows_per_window: int = ROWS
 
 
 def range_number(df: DataFrame, order: list[str], cuts: list) -> Column:
-    """How many cut points are not above the row, by comparison of the ``order`` columns as one struct."""
+    """How many cut points are not above the row, by comparison of the ``order`` columns as one struct.
+
+    The cut points are looked up in two levels, so a row is compared with about twice the root of their number.
+    """
     here = F.struct(*[F.col(c) for c in order])
     types = [df.schema[c].dataType for c in order]
-    edges = F.array(
-        *[F.struct(*[F.lit(v).cast(t).alias(c) for c, v, t in zip(order, cut, types)]) for cut in cuts]
-    )
-    return F.size(F.filter(edges, lambda edge: edge <= here))
+    edges = [F.struct(*[F.lit(v).cast(t).alias(c) for c, v, t in zip(order, cut, types)]) for cut in cuts]
+    width = max(1, isqrt(len(edges)))
+    blocks = [edges[start : start + width] for start in range(0, len(edges), width)]
+
+    def not_above(group: list[Column] | Column) -> Column:
+        return F.size(F.filter(group if isinstance(group, Column) else F.array(*group), lambda edge: edge <= here))
+
+    block = not_above([b[0] for b in blocks])
+    inside = not_above(F.get(F.array(*[F.array(*b) for b in blocks]), block - 1))
+    return F.when(block == 0, 0).otherwise((block - 1) * width + inside)
 
 
 def with_row(df: DataFrame, row: DataFrame) -> DataFrame:

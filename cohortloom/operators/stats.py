@@ -139,27 +139,31 @@ def mutual_information(matrix: DataFrame, label: str, neighbours: int = 3) -> Da
     distances = (
         points.join(offered, ["feature", "label", "rn"])
         .groupBy("feature", "label", "sample", "x", "nc", "k")
-        .agg(F.sort_array(F.collect_list(F.abs(F.col("near") - F.col("x")))).alias("ds"))
-        .withColumn("d", F.element_at("ds", F.col("k").cast("int")))
+        .agg(F.sort_array(F.collect_list(F.struct(F.abs(F.col("near") - F.col("x")).alias("d"), "near"))).alias("ds"))
+        .withColumn("far", F.element_at("ds", F.col("k").cast("int")))
     )
-    queries = materialize(distances.select("feature", "sample", "x", "nc", "k", "d"), "mi-queries")
+    # The interval ends at the neighbour's own value on its side, so rounding cannot move that point in or out.
+    d, near = F.col("far.d"), F.col("far.near")
+    ends = distances.select(
+        "feature", "sample", "x", "nc", "k", (d == 0).alias("tied"),
+        F.when(near < F.col("x"), near).otherwise(F.col("x") - d).alias("low"),
+        F.when(near > F.col("x"), near).otherwise(F.col("x") + d).alias("high"),
+    )
+    queries = materialize(ends, "mi-queries")
 
     # Points of the kept classes and both ends of every interval in one order; only points count.
     values = queries.groupBy("feature", F.col("x").alias("v")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit(1))
-    tied = F.col("d") == 0
-    below = queries.select("feature", (F.col("x") - F.col("d")).alias("v"), F.when(tied, 0).otherwise(2).alias("kind"))
-    above = queries.select("feature", (F.col("x") + F.col("d")).alias("v"), F.when(tied, 2).otherwise(0).alias("kind"))
-    # kind 0 sits before the points of its value, kind 2 after them: open intervals, closed ones for distance 0.
-    ends = below.unionByName(above).distinct().withColumn("n", F.lit(0).cast("long"))
-    line = running(values.unionByName(ends), ["feature"], ["v", "kind"], {"upto": ("sum", "n")})
+    # Marks of kind 0 sit before the points of their value, kind 2 after them: open intervals, closed at distance 0.
+    asked = queries.withColumns(
+        {"low_kind": F.when(F.col("tied"), 0).otherwise(2), "high_kind": F.when(F.col("tied"), 2).otherwise(0)}
+    )
+    below = asked.select("feature", F.col("low").alias("v"), F.col("low_kind").alias("kind"))
+    above = asked.select("feature", F.col("high").alias("v"), F.col("high_kind").alias("kind"))
+    marked = below.unionByName(above).distinct().withColumn("n", F.lit(0).cast("long"))
+    line = running(values.unionByName(marked), ["feature"], ["v", "kind"], {"upto": ("sum", "n")})
     marks = materialize(line.where("kind <> 1").select("feature", "v", "kind", "upto"), "mi-marks")
     low = marks.select("feature", F.col("v").alias("low"), F.col("kind").alias("low_kind"), F.col("upto").alias("before"))
     high = marks.select("feature", F.col("v").alias("high"), F.col("kind").alias("high_kind"), F.col("upto").alias("within"))
-    asked = queries.select(
-        "*",
-        (F.col("x") - F.col("d")).alias("low"), F.when(tied, 0).otherwise(2).alias("low_kind"),
-        (F.col("x") + F.col("d")).alias("high"), F.when(tied, 2).otherwise(0).alias("high_kind"),
-    )
     counted = asked.join(low, ["feature", "low", "low_kind"]).join(high, ["feature", "high", "high_kind"])
     # Few distinct counts occur, so digamma is taken once per (feature, counts).
     grouped = counted.withColumn("m", F.greatest(F.col("within") - F.col("before"), F.lit(1))).groupBy("feature", "m", "nc", "k").agg(

@@ -140,7 +140,7 @@ _MI = _CELLS + """, near AS (SELECT a.feature, a.sample, a.value AS x, list_sort
       FROM cells a JOIN cells b ON a.feature = b.feature AND a.grp = b.grp AND a.sample <> b.sample GROUP BY 1, 2, 3),
     q AS (SELECT feature, sample, x, nc, LEAST(3, nc - 1) AS k, ds[LEAST(3, nc - 1)] AS d FROM near),
     m AS (SELECT q.feature, q.sample, ANY_VALUE(nc) AS nc, ANY_VALUE(k) AS k, COUNT(*) AS m FROM q JOIN cells c ON c.feature = q.feature
-      AND CASE WHEN d = 0 THEN c.value = x ELSE c.value > x - d AND c.value < x + d END GROUP BY 1, 2),
+      AND CASE WHEN d = 0 THEN c.value = x ELSE ABS(c.value - x) < d END GROUP BY 1, 2),
     h AS (SELECT n, SUM(CASE WHEN n > 1 THEN 1.0 / (n - 1) ELSE 0 END) OVER (ORDER BY n) AS psi FROM range(1, (SELECT COUNT(*) + 1 FROM fx_cells)) AS t(n))
     SELECT feature, ROUND(GREATEST((SELECT psi FROM h WHERE n = (SELECT COUNT(*) FROM fx_cells)) + AVG(hk.psi) - AVG(hc.psi) - AVG(hm.psi), 0), 6) + 0.0 AS mi
     FROM m JOIN h hk ON hk.n = k JOIN h hc ON hc.n = nc JOIN h hm ON hm.n = m GROUP BY feature"""

@@ -32,9 +32,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return _local_scratch[app]
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path no earlier call has returned."""
-    return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path no earlier call has returned, in this application's part of the scratch folder."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str = "step", partition_by: list[str] | None = None) -> DataFrame:
@@ -47,6 +51,12 @@ def materialize(df: DataFrame, name: str = "step", partition_by: list[str] | Non
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete what this application wrote as intermediates; call it when no result that reads them is needed any more."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def has_at_most(df: DataFrame, rows: int) -> bool:
     """True if ``df`` has no more than ``rows`` rows; reads at most one more than that."""
     return df.limit(rows + 1).count() <= rows

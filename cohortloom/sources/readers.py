@@ -17,10 +17,11 @@ INTERACTION_SCHEMA = (
 def read_tsv(spark: SparkSession, path: str, schema: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """Tab-separated text with a header; a ``.gz`` file is read as it is. Columns are text unless ``schema`` is given.
 
-    One gzip file is one task, so its rows are spread out again before any further work by AQE's next shuffle.
+    A single gzip file cannot be split and is read by one task, so its rows are dealt out again after the column choice.
     """
     df = spark.read.csv(path, sep="\t", header=True, schema=schema, nullValue="")
-    return df.select(*columns) if columns else df
+    chosen = df.select(*columns) if columns else df
+    return chosen.repartition(spark.sparkContext.defaultParallelism) if path.endswith(".gz") else chosen
 
 
 def header_names(spark: SparkSession, path: str, skip: int = 1) -> DataFrame:
@@ -45,11 +46,10 @@ def matrix_to_long(wide: DataFrame, id_column: str, samples: list[str] | None =
 
 def read_matrix(spark: SparkSession, path: str, samples: list[str] | None = None) -> DataFrame:
     """A wide matrix file as long rows; ``samples`` limits the columns taken."""
-    wide = read_tsv(spark, path)
-    id_column = wide.columns[0]
-    if samples is not None:
-        wide = wide.select(f"`{id_column}`", *[f"`{c}`" for c in samples])
-    return matrix_to_long(wide, id_column, samples)
+    names = spark.read.csv(path, sep="\t", header=True).columns
+    wanted = names[1:] if samples is None else samples
+    wide = read_tsv(spark, path, columns=[f"`{c}`" for c in [names[0], *wanted]])
+    return matrix_to_long(wide, names[0], wanted)
 
 
 def read_variants(spark: SparkSession, path: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cohortloom.functions.scalar import RUN_ID_FORMAT
 
@@ -24,8 +25,9 @@ def append_scores(scores: DataFrame, path: str) -> None:
 
 
 def write_sorted(df: DataFrame, path: str, by: str = "gene") -> None:
-    """A total order over the part files: range partitions, sorted inside."""
-    df.repartitionByRange(by).sortWithinPartitions(by).write.csv(path, header=True)
+    """A total order over the part files: range partitions, sorted inside. A hash of the row splits a repeated key."""
+    spread = df.repartitionByRange(F.col(by), F.xxhash64(*df.columns))
+    spread.sortWithinPartitions(by).write.csv(path, header=True)
 
 
 def result_name(cohort: str, seed: int, moment) -> str:
