@@ -7,7 +7,7 @@ gene table is collected.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -18,8 +18,8 @@ from cohortloom.functions.dist import chi2_sf, log_gamma, normal_sf2, trigamma
 from cohortloom.operators.counts import GeneRows, count_matrix, pack_genes
 from cohortloom.operators.diffexp import fdr_bh
 from cohortloom.operators.ordered import quantiles
-from cohortloom.operators.sva import hidden_covariates
-from cohortloom.runtime import has_at_most, materialize, union_all
+from cohortloom.operators.sva import hidden_directions
+from cohortloom.runtime import has_at_most, materialize, side_by_side, union_all
 
 LEAST_DISPERSION = 1e-8
 RIDGE = 1e-6  # on the log2 scale, as a guard against separated groups
@@ -248,22 +248,37 @@ def _tests(genes: GeneRows, table: DataFrame, runs: list[Run], tested: int, meth
     return table.mapInPandas(in_task, schema)
 
 
-def nb_test_runs(counts: DataFrame, designs: DataFrame, group: str, method: str = "wald", covariates: list[str] | None = None, factors: DataFrame | None = None) -> DataFrame:
-    """(run_id, gene, base_mean, log2fc, lfc_se, stat, pvalue, padj) of group 1 against group 0, for every run in one plan.
-
-    ``counts`` is (gene, sample, cnt); ``designs`` is (run_id, sample, group, *covariates). Method ``wald`` or ``lrt``.
-    Genes are packed and read once for all runs; p-values are adjusted within a run.
-    """
-    if method not in ("wald", "lrt"):
-        raise ValueError(f"unknown method {method}")
+def _tested(counts: DataFrame, designs: DataFrame, group: str, methods: list[str], hidden: int = 0, covariates: list[str] | None = None, factors: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Results by method. Counts are packed once, and dispersions fitted once, for all runs and methods."""
+    if not set(methods) <= {"wald", "lrt"}:
+        raise ValueError(f"unknown method among {methods}")
     columns = [*(covariates or []), group]
     designs = materialize(designs.select("run_id", "sample", *columns), "designs")
     genes = pack_genes(counts, designs, factors)
+    genes = replace(genes, rows=materialize(genes.rows, "gene-rows"))
     runs = designs_of(genes, designs, columns)
+    if hidden:
+        # The searches of the runs are independent chains of jobs.
+        calls = [lambda r=run: hidden_directions(genes, r.at, r.x[:, -1], hidden) for run in runs]
+        found = side_by_side(counts.sparkSession, calls)
+        runs = [Run(r.name, r.at, np.column_stack([r.x[:, :-1], d, r.x[:, -1:]])) for r, d in zip(runs, found)]
     table = gene_dispersions(genes, runs)
     run_type = designs.schema["run_id"].dataType.simpleString()
-    tested = materialize(_tests(genes, table, runs, len(columns), method, run_type), "tests")
-    return fdr_bh(tested, "pvalue", ["run_id"]).select("run_id", *RESULT)
+    last = len(columns) + hidden
+    results = {}
+    for method in methods:
+        tested = materialize(_tests(genes, table, runs, last, method, run_type), "tests")
+        results[method] = fdr_bh(tested, "pvalue", ["run_id"]).select("run_id", *RESULT)
+    return results
+
+
+def nb_test_runs(counts: DataFrame, designs: DataFrame, group: str, method: str = "wald", covariates: list[str] | None = None, factors: DataFrame | None = None) -> DataFrame:
+    """(run_id, gene, base_mean, log2fc, lfc_se, stat, pvalue, padj) of group 1 against group 0, for every run in one plan.
+
+    ``counts`` is (gene, sample, cnt); ``designs`` is (run_id, sample, group, *covariates). Method ``wald`` or ``lrt``.
+    P-values are adjusted within a run.
+    """
+    return _tested(counts, designs, group, [method], covariates=covariates, factors=factors)[method]
 
 
 def nb_test(counts: DataFrame, design: DataFrame, group: str, method: str = "wald", covariates: list[str] | None = None, factors: DataFrame | None = None) -> DataFrame:
@@ -276,17 +291,7 @@ def run_tests(counts: DataFrame, designs: DataFrame, group: str, method: str, ba
 
     ``batch_removal`` adds hidden covariates found in the counts to the design of every run.
     """
-    covariates: list[str] = []
-    if batch_removal:
-        names = [row[0] for row in designs.select("run_id").distinct().orderBy("run_id").collect()]
-        found = [
-            hidden_covariates(counts, designs.where(F.col("run_id") == name), group, hidden).withColumn("run_id", F.lit(name))
-            for name in names
-        ]
-        designs = designs.select("run_id", "sample", group).join(union_all(found), ["run_id", "sample"])
-        covariates = [f"sv{i + 1}" for i in range(hidden)]
     kinds = {"deseq2": ["wald"], "edger": ["lrt"], "all": ["lrt", "wald"]}[method]
-    names_of = {"wald": "deseq2", "lrt": "edger"}
-    return union_all(
-        [nb_test_runs(counts, designs, group, kind, covariates).withColumn("method", F.lit(names_of[kind])) for kind in kinds]
-    )
+    names = {"wald": "deseq2", "lrt": "edger"}
+    found = _tested(counts, designs, group, kinds, hidden if batch_removal else 0)
+    return union_all([df.withColumn("method", F.lit(names[kind])) for kind, df in found.items()])

@@ -7,6 +7,7 @@ product summed over genes.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from math import erfc, sqrt
 
 import numpy as np
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from cohortloom.functions.dist import f_sf
-from cohortloom.operators.counts import count_matrix, pack_genes
+from cohortloom.operators.counts import GeneRows, count_matrix, pack_genes
 from cohortloom.operators.sums import summed_array
 from cohortloom.runtime import has_at_most, materialize
 
@@ -62,21 +63,37 @@ def _local_fdr(histogram: np.ndarray, high: float) -> np.ndarray:
 
 
 def hidden_covariates(counts: DataFrame, design: DataFrame, group: str, n: int = 2, rounds: int = 5) -> DataFrame:
-    """(sample, sv1 .. svn). The entry of largest size is positive in every direction, which fixes the sign."""
+    """(sample, sv1 .. svn) for the samples of ``design`` (sample, group)."""
     known = materialize(design.select("sample", group).dropna(), "design")
     if not has_at_most(known, MAX_SAMPLES):
         raise ValueError(f"the product of samples by samples is limited to {MAX_SAMPLES} samples")
     genes = pack_genes(counts, known)
-    size, place = len(genes.samples), genes.place()
-    sf, rows = genes.size_factors, materialize(genes.rows, "gene-rows")
-    groups = np.zeros(size)
+    genes = replace(genes, rows=materialize(genes.rows, "gene-rows"))
+    place = genes.place()
+    groups = np.zeros(len(genes.samples))
     for row in known.collect():
         groups[place[row["sample"]]] = float(row[group])
+    directions = hidden_directions(genes, np.arange(len(genes.samples)), groups, n, rounds)
+    key = counts.schema["sample"].dataType.simpleString()
+    names = ", ".join(f"sv{i + 1} double" for i in range(n))
+    table = [(sample, *map(float, d)) for sample, d in zip(genes.samples, directions)]
+    return counts.sparkSession.createDataFrame(table, f"sample {key}, {names}")
+
+
+def hidden_directions(genes: GeneRows, at: np.ndarray, groups: np.ndarray, n: int = 2, rounds: int = 5) -> np.ndarray:
+    """Samples by ``n`` directions for the samples at positions ``at``, given their groups.
+
+    The entry of largest size is positive in every direction, which fixes the sign. ``genes.rows`` is cheap to read.
+    """
+    size, whole = len(at), len(genes.samples)
+    if size > MAX_SAMPLES:
+        raise ValueError(f"the product of samples by samples is limited to {MAX_SAMPLES} samples")
+    sf, rows = genes.size_factors[at], genes.rows
     with_group = np.column_stack([np.ones(size), groups])
     without = np.ones((size, 1))
 
     def logs(batch: pd.DataFrame) -> np.ndarray:
-        return np.log(count_matrix(batch, size) / sf + 1)
+        return np.log(count_matrix(batch, whole)[:, at] / sf + 1)
 
     def residual_product(batch: pd.DataFrame) -> np.ndarray:
         data = logs(batch)
@@ -113,10 +130,7 @@ def hidden_covariates(counts: DataFrame, design: DataFrame, group: str, n: int =
         if not np.any(product):
             break
         directions = _leading(product, n)
-    key = counts.schema["sample"].dataType.simpleString()
-    names = ", ".join(f"sv{i + 1} double" for i in range(n))
-    table = [(sample, *map(float, d)) for sample, d in zip(genes.samples, directions)]
-    return counts.sparkSession.createDataFrame(table, f"sample {key}, {names}")
+    return directions
 
 
 def _leading(product: np.ndarray, n: int) -> np.ndarray:

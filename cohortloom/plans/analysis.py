@@ -15,6 +15,7 @@ from cohortloom.operators.nbtest import run_tests
 from cohortloom.operators.ordered import quantiles, with_row
 from cohortloom.operators.survival import km_summary
 from cohortloom.runtime import materialize
+from cohortloom.sources.writers import result_name, write_sorted
 
 F1_PAIRS = [("rna_anova", "rna_rf"), ("mirna_anova", "mirna_rf"), ("meth_anova", "meth_rf")]
 
@@ -134,3 +135,10 @@ def text_mining(tables: dict[str, DataFrame]) -> DataFrame:
     """Text-mining tables of one or more cohorts, outer-joined on gene; every column keeps its table's name."""
     named = [df.toDF("gene", *[f"{name}_{c}" for c in df.columns[1:]]) for name, df in tables.items()]
     return reduce(lambda left, right: left.join(right, "gene", "full"), named)
+
+
+def write_analysis(table: DataFrame, base: str, cohort: str, seed: int, moment) -> str:
+    """The final table as CSV ordered by gene; its path carries cohort, seed and time."""
+    path = f"{base}/RESULT/{cohort}/{result_name(cohort, seed, moment)}"
+    write_sorted(table, path)
+    return path

@@ -1,5 +1,6 @@
 """Readers and writers on small staged files."""
 
+import datetime
 import gzip
 import hashlib
 import json
@@ -162,3 +163,28 @@ def test_scratch_is_cleared_on_request(spark):
     kept = materialize(spark.range(3), "kept")
     assert kept.count() == 3 and clear_scratch(spark)
     assert not writers.path_exists(spark, kept.inputFiles()[0])
+
+
+def test_cycles_go_on_after_a_failure(spark, tmp_path, monkeypatch):
+    def cycle(matrix, survival, burden, run_id, settings):
+        if run_id == "bad":
+            raise RuntimeError("no luck")
+        groups = spark.createDataFrame([("s1", 0), ("s2", 1)], "sample string, group int")
+        weights = subgroup.embed._start(subgroup.embed.Network(neurons=4, bottleneck=1), 2)
+        trained = subgroup.embed.Trained(subgroup.embed.Network(neurons=4, bottleneck=1), 2, weights)
+        row = spark.createDataFrame([(run_id, *[0.5] * 9, None)], subgroup.SCORE_SCHEMA)
+        return row, subgroup.Grouping("ok", "encoder_vanilla", 0.5, groups, trained)
+
+    monkeypatch.setattr(subgroup, "run_cycle", cycle)
+    frame = spark.range(1)
+    table = subgroup.run_cycles(frame, frame, frame, ["a", "bad", "c"], str(tmp_path), "X")
+    assert {r.run_id: r.error for r in table.collect()} == {"a": None, "bad": "no luck", "c": None}
+    groups = readers.read_tsv(spark, str(tmp_path / "group/X/X_GROUP_a"), "sample string, group int")
+    assert sorted(tuple(r) for r in groups.collect()) == [("s1", 0), ("s2", 1)]
+
+
+def test_final_table_is_written_under_its_name(spark, tmp_path):
+    df = spark.createDataFrame([("b", 1), ("a", 2)], "gene string, v int")
+    path = analysis.write_analysis(df, str(tmp_path), "X", 331, datetime.datetime(2022, 1, 27, 12, 9, 0))
+    assert path.endswith("/RESULT/X/X-RandomSeed-331-20220127-120900.csv")
+    assert [r.gene for r in spark.read.csv(path, header=True).collect()] == ["a", "b"]
