@@ -30,7 +30,7 @@ def nested_terms(long: DataFrame) -> DataFrame:
     """
     types = long.groupBy("gene", "partner", "score").agg(F.array_sort(F.collect_set("interaction_type")).alias("types"))
     entry = F.struct("partner", "score", "types")
-    parts = collected_parts(types, ["gene"], {"found": entry})
+    parts = collected_parts(types, ["gene"], "found", entry)
     names = long.select("gene", "category").distinct().groupBy("gene").agg(F.array_sort(F.collect_list("category")).alias("cats"))
     return parts.join(names, "gene").select(
         F.col("gene").alias("geneName"),
@@ -51,8 +51,8 @@ def structure_ids(links: DataFrame) -> DataFrame:
     """
     reviewed = links.where(F.col("reviewed") == "reviewed")
     ids = reviewed.select("gene", F.explode(kept_items(F.split(F.coalesce("pdb", F.lit("")), ";"))).alias("id")).distinct()
-    id_lists = collected_parts(ids, ["gene"], {"ids": F.col("id")})
-    entry_lists = collected_parts(reviewed.select("gene", "entry").distinct(), ["gene"], {"entries": F.col("entry")})
+    id_lists = collected_parts(ids, ["gene"], "ids", F.col("id"))
+    entry_lists = collected_parts(reviewed.select("gene", "entry").distinct(), ["gene"], "entries", F.col("entry"))
     joined = entry_lists.join(id_lists, ["gene", "part"], "full")
     return joined.select(
         "gene",

@@ -8,22 +8,24 @@ from pyspark.sql import functions as F
 PART_LENGTH = 100_000
 
 
-def collected_parts(
-    df: DataFrame, keys: list[str], values: dict[str, Column], part_length: int = PART_LENGTH
-) -> DataFrame:
+def collected_parts(df: DataFrame, keys: list[str], name: str, value: Column, part_length: int = PART_LENGTH) -> DataFrame:
     """One sorted list per key, or several rows (``part`` 0, 1, ...) for a key with more than ``part_length`` values.
 
-    ``values`` maps an output list to the column it collects. Nulls are left out, as by ``collect_list``.
-    The number of parts per key comes from a partial count, and rows spread over the parts by hash.
+    Equal values are counted before the shuffle and written out again at the end, so a value that fills a key travels as one
+    row. Rows spread over the parts by hash. Nulls are left out, as by ``collect_list``.
     """
-    rows = df.select(*keys, *[column.alias(name) for name, column in values.items()])
-    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / part_length).cast("int").alias("_parts"))
-    spread = rows.join(sizes, keys).withColumn(
-        "part", F.pmod(F.xxhash64(*values), F.col("_parts").cast("long")).cast("int")
-    )
-    return spread.groupBy(*keys, "part").agg(
-        *[F.sort_array(F.collect_list(name)).alias(name) for name in values]
+    length = F.lit(part_length)
+    counted = (
+        df.select(*keys, value.alias("_value")).where(F.col("_value").isNotNull()).groupBy(*keys, "_value").agg(F.count(F.lit(1)).alias("_n"))
     )
+    sizes = counted.groupBy(*keys).agg(F.ceil(F.sum("_n") / length).alias("_parts"))
+    pieces = counted.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / length))))
+    times = F.least(length.cast("long"), F.col("_n") - F.col("_piece") * length).cast("int")
+    part = F.pmod(F.xxhash64("_value", "_piece"), F.col("_parts")).cast("int")
+    spread = pieces.join(sizes, keys).select(*keys, "_value", times.alias("_times"), part.alias("part"))
+    lists = spread.groupBy(*keys, "part").agg(F.sort_array(F.collect_list(F.struct("_value", "_times"))).alias("_list"))
+    whole = F.flatten(F.transform("_list", lambda e: F.array_repeat(e["_value"], e["_times"])))
+    return lists.select(*keys, "part", whole.alias(name))
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -47,12 +47,12 @@ def join_without_missing(frames: list[DataFrame | None], key: str) -> DataFrame:
 def multimap(frames: list[DataFrame], key: str, value: str) -> DataFrame:
     """Key to the values of all frames, in frame order; long lists continue in further parts."""
     numbered = [df.select(key, F.struct(F.lit(i).alias("frame"), F.col(value).alias("v")).alias("entry")) for i, df in enumerate(frames)]
-    parts = collected_parts(union_all(numbered), [key], {"entries": F.col("entry")})
+    parts = collected_parts(union_all(numbered), [key], "entries", F.col("entry"))
     return parts.select(key, "part", F.transform("entries", lambda e: e["v"]).alias("values"))
 
 
 def joined_text(df: DataFrame, key: str, value: str, separator: str = ";") -> DataFrame:
     """Distinct non-empty values of each key, sorted and joined, with their number."""
     kept = df.where(F.col(value).isNotNull() & (F.col(value) != "")).select(key, value).distinct()
-    parts = collected_parts(kept, [key], {"items": F.col(value)})
+    parts = collected_parts(kept, [key], "items", F.col(value))
     return parts.select(key, "part", F.array_join("items", separator).alias("joined"), F.size("items").cast("long").alias("n"))

@@ -52,7 +52,7 @@ def edger_lrt(spark, sf_dir):
 
 @query("deseq_tumor_normal")
 def deseq_tumor_normal(spark, sf_dir):
-    """Tumour against normal tissue by barcode type, cut at p below 0.1 and any effect; five centres times two types are the samples."""
+    """Tumour against normal tissue by barcode type, cut at p below 0.1 and any effect; centre and type together are the samples."""
     barcode = F.col("tumor_sample_barcode")
     variants = view(spark, sf_dir, "fx_variants")
     cells = variants.select(
@@ -114,13 +114,13 @@ def oncogene_table(spark, sf_dir):
 
 
 def _symbols(spark, sf_dir):
-    return table(spark, sf_dir, "part").where("p_size > 25").select(
+    return table(spark, sf_dir, "part").select(
         F.concat_ws("|", "p_brand", "p_type").alias("gene"), F.concat(F.lit("ENSG"), "p_partkey").alias("ensembl")
     )
 
 
 _ATLAS = """(SELECT g.gene, CASE WHEN e IS NULL THEN '' ELSE 'https://www.proteinatlas.org/' || e || '-' || g.gene END AS atlas_url FROM (SELECT DISTINCT gene FROM fx_deg) g
-    LEFT JOIN (SELECT p_brand || '|' || p_type AS gene, MIN('ENSG' || p_partkey) AS e FROM part WHERE p_size > 25 GROUP BY 1) s ON g.gene = s.gene)"""
+    LEFT JOIN (SELECT p_brand || '|' || p_type AS gene, MIN('ENSG' || p_partkey) AS e FROM part GROUP BY 1) s ON g.gene = s.gene)"""
 
 
 @query("protein_atlas_links", with_views("fx_deg", f"SELECT * FROM {_ATLAS}"))

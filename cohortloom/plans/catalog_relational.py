@@ -284,14 +284,15 @@ def join_full_outer_fill(spark, sf_dir):
 
 @query(
     "join_full_outer_pair",
-    with_views("fx_deg", "+e AS (SELECT gene, log2fc AS edger_logfc FROM fx_deg WHERE run_id = 1 AND pvalue < 0.5), "
-               "d AS (SELECT gene, log2fc AS deseq2_logfc FROM fx_deg WHERE run_id = 2 AND pvalue < 0.5) "
+    with_views("fx_deg", "+e AS (SELECT run_id || ':' || gene AS gene, log2fc AS edger_logfc FROM fx_deg WHERE pvalue < 0.5), "
+               "d AS (SELECT run_id || ':' || gene AS gene, log2fc AS deseq2_logfc FROM fx_deg WHERE log2fc > 0) "
                "SELECT COALESCE(e.gene, d.gene) AS gene, edger_logfc, deseq2_logfc FROM e FULL JOIN d ON e.gene = d.gene"),
 )
 def join_full_outer_pair(spark, sf_dir):
-    deg = view(spark, sf_dir, "fx_deg").where("pvalue < 0.5")
-    first = deg.where("run_id = 1").select("gene", F.col("log2fc").alias("edger_logfc"))
-    second = deg.where("run_id = 2").select("gene", F.col("log2fc").alias("deseq2_logfc"))
+    """Two cuts of all runs' results stand for the two methods."""
+    deg = view(spark, sf_dir, "fx_deg").withColumn("gene", F.concat_ws(":", "run_id", "gene"))
+    first = deg.where("pvalue < 0.5").select("gene", F.col("log2fc").alias("edger_logfc"))
+    second = deg.where("log2fc > 0").select("gene", F.col("log2fc").alias("deseq2_logfc"))
     return relational.full_outer_pair(first, second, "gene")
 
 

@@ -304,11 +304,11 @@ def sink_snapshot_if_absent(spark, sf_dir):
     return kept.groupBy("modality").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-@query("sink_bundle", with_views("fx_matrix6", "SELECT sample, feature, value, modality FROM fx_matrix6 WHERE modality = 'Rna'"))
+@query("sink_bundle", with_views("fx_matrix6", "SELECT sample, feature, value, modality FROM fx_matrix6"))
 def sink_bundle(spark, sf_dir):
     path = scratch_path(spark, "bundle")
     writers.write_bundle(view(spark, sf_dir, "fx_matrix6"), path)
-    return spark.read.parquet(path).where(F.col("modality") == "Rna")
+    return spark.read.parquet(path)
 
 
 @query("sink_first_column", with_views("fx_oncogenes", "SELECT gene FROM fx_oncogenes"))

@@ -113,7 +113,7 @@ VIEWS = {
     "fx_oncogenes": """
         SELECT p_brand || '|' || p_type AS gene, MAX(CASE WHEN p_size > 25 THEN 'Yes' ELSE 'No' END) AS is_oncogene,
                MIN(CASE WHEN p_size > 25 THEN 'Yes' ELSE 'No' END) AS is_tsg, MAX(p_name) AS background
-        FROM {part} WHERE p_size > 10 GROUP BY 1""",
+        FROM {part} GROUP BY 1""",
 }
 
 

@@ -54,13 +54,19 @@ def test_quantiles_match_linear_interpolation(spark, limit):
 
 def test_long_lists_continue_in_parts_without_loss(spark):
     df = spark.range(1000).select(F.when(F.col("id") < 900, "hot").otherwise("cold").alias("k"), "id")
-    parts = lists.collected_parts(df, ["k"], {"ids": F.col("id")}, part_length=100).collect()
+    parts = lists.collected_parts(df, ["k"], "ids", F.col("id"), part_length=100).collect()
     hot = [r for r in parts if r.k == "hot"]
     assert len(hot) == 9 and max(len(r.ids) for r in hot) < 200
     assert sorted(i for r in hot for i in r.ids) == list(range(900))
     assert [r.ids for r in parts if r.k == "cold"] == [list(range(900, 1000))]
 
 
+def test_a_repeated_value_is_split_and_kept_whole(spark):
+    df = spark.range(1000).select(F.lit("hot").alias("k"), F.when(F.col("id") < 950, 7).otherwise(F.col("id")).alias("v"))
+    parts = lists.collected_parts(df, ["k"], "vs", F.col("v"), part_length=100).collect()
+    assert len(parts) > 3 and sorted(v for r in parts for v in r.vs) == [7] * 950 + list(range(950, 1000))
+
+
 def test_first_per_key_takes_the_smallest(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, None)], "k string, o int, v string")
     assert {tuple(r) for r in lists.first_per_key(df, ["k"], ["o"]).collect()} == {("a", 1, "y"), ("b", 5, None)}
