@@ -57,10 +57,10 @@ class GeneRows:
 def pack_genes(counts: DataFrame, samples: DataFrame, factors: DataFrame | None = None) -> GeneRows:
     """One row per gene over the given samples; cells without a count are 0, genes without any are left out.
 
-    Per-gene models need the whole row of a gene. Its length is the number of samples, which is checked; genes are spread
+    ``samples`` is cheap to read. Per-gene models need the whole row of a gene. Its length is the number of samples, which is checked; genes are spread
     over tasks by a bound on cells.
     """
-    wanted = materialize(samples.select("sample").distinct(), "samples")
+    wanted = samples.select("sample").distinct()
     if not has_at_most(wanted, MAX_SAMPLES):
         raise ValueError(f"more than {MAX_SAMPLES} samples: a gene row would not fit a task")
     counts = materialize(counts.select("gene", "sample", "cnt").join(wanted, "sample", "left_semi"), "counts")

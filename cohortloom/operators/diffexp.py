@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.operators.ordered import running, with_row
+from cohortloom.operators.ordered import plan_order, running, with_row
 from cohortloom.runtime import materialize
 
 
@@ -31,7 +31,7 @@ def fdr_bh(df: DataFrame, p: str, keys: list[str], out: str = "padj") -> DataFra
     counts = materialize(
         df.where(F.col(p).isNotNull()).groupBy(*keys, F.col(p).alias("_p")).agg(F.count(F.lit(1)).alias("_n")), "tests"
     )
-    upto = running(counts, keys, ["_p"], {"_rank": ("sum", "_n")})
+    upto = running(counts, keys, ["_p"], {"_rank": ("sum", "_n")}, plan=plan_order(counts, ["_p"]))
     sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_m"))
     raw = upto.join(sizes, keys) if keys else with_row(upto, sizes)
     raw = raw.withColumn("_q", F.least(F.lit(1.0), F.col("_p") * F.col("_m") / F.col("_rank")))

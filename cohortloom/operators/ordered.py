@@ -33,8 +33,9 @@ class OrderPlan:
     cuts: list = field(default_factory=list)
 
 
-def plan_order(written: DataFrame, order: list[str], rows_per_window: int = ROWS_PER_WINDOW) -> OrderPlan:
+def plan_order(written: DataFrame, order: list[str], rows_per_window: int | None = None) -> OrderPlan:
     """Size and, for a large table, cut points of a table that is cheap to read again."""
+    rows_per_window = rows_per_window or ROWS_PER_WINDOW
     rows = written.count()
     if rows <= rows_per_window:
         return OrderPlan(rows)
@@ -86,7 +87,7 @@ def running(
     measures: dict[str, tuple[str, str]],
     reverse: bool = False,
     plan: OrderPlan | None = None,
-    rows_per_window: int = ROWS_PER_WINDOW,
+    rows_per_window: int | None = None,
 ) -> DataFrame:
     """Add running aggregates, from the first row to the current one (or from the last one if ``reverse``).
 
