@@ -389,13 +389,13 @@ def agg_count_distinct(spark, sf_dir):
 
 @query(
     "agg_multimap",
-    with_views("fx_oncogenes fx_links", "SELECT gene, list(v ORDER BY f, v) AS \"values\", 0 AS part FROM (SELECT gene, 0 AS f, is_oncogene AS v FROM fx_oncogenes UNION ALL "
+    with_views("fx_oncogenes fx_links", "SELECT gene, string_agg(v, ',' ORDER BY f, v) AS \"values\", 0 AS part FROM (SELECT gene, 0 AS f, is_oncogene AS v FROM fx_oncogenes UNION ALL "
                "SELECT gene, 1 AS f, entry AS v FROM fx_links) GROUP BY gene"),
 )
 def agg_multimap(spark, sf_dir):
     first = view(spark, sf_dir, "fx_oncogenes").select("gene", F.col("is_oncogene").alias("v"))
     second = view(spark, sf_dir, "fx_links").select("gene", F.col("entry").alias("v"))
-    return relational.multimap([first, second], "gene", "v")
+    return relational.multimap([first, second], "gene", "v").withColumn("values", F.array_join("values", ","))
 
 
 @query("agg_group_means_table", with_views("fx_counts", "SELECT gene, ROUND(AVG(cnt) FILTER (WHERE grp = 0), 6) AS mean_0, ROUND(AVG(cnt) FILTER (WHERE grp = 1), 6) AS mean_1 FROM fx_counts GROUP BY 1"))
@@ -625,10 +625,10 @@ def fn_array_transform(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(listed, "&").alias("text"))
 
 
-@query("fn_filter_none", with_views("fx_links", "SELECT gene, entry, list_filter([pdb, '', entry], lambda x: x IS NOT NULL AND x <> '') AS kept FROM fx_links"))
+@query("fn_filter_none", with_views("fx_links", "SELECT gene, entry, array_to_string(list_filter([pdb, '', entry], lambda x: x IS NOT NULL AND x <> ''), '+') AS kept FROM fx_links"))
 def fn_filter_none(spark, sf_dir):
     items = F.array("pdb", F.lit(""), "entry")
-    return view(spark, sf_dir, "fx_links").select("gene", "entry", scalar.kept_items(items).alias("kept"))
+    return view(spark, sf_dir, "fx_links").select("gene", "entry", F.array_join(scalar.kept_items(items), "+").alias("kept"))
 
 
 @query("fn_array_size", "SELECT doc_id, CAST(length(string_split(text, ' ')) AS INTEGER) AS n_words FROM documents")
