@@ -42,7 +42,7 @@ _WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
     f AS (SELECT doc_id, w, coalesce(ps, []) AS ps FROM d LEFT JOIN e USING (r))
     SELECT doc_id, len(w) AS n_words, len(ps) AS n_removed,
            sha256(CASE WHEN len(ps) = 0 THEN array_to_string(w, ' ')
-                       ELSE coalesce(array_to_string(list_filter(w, (x, i) -> NOT list_contains(ps, i)), ' '), '') END)
+                       ELSE coalesce(array_to_string(list_filter(w, lambda x, i: NOT list_contains(ps, i)), ' '), '') END)
                AS kept_sha256
     FROM f""",
 )
