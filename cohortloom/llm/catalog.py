@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import substring
+from cohortloom.llm import mixing, rules, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -49,3 +49,54 @@ _WORDS = r"regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+')"
 def op6_substring_dedup(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return substring.remove_duplicates(docs, is_stored=True, keep_text=False).drop("row")
+
+
+@_query(
+    "op7_mixing",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, CAST(len({_WORDS.format(text='text')}) AS BIGINT) AS size FROM documents),
+    s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+    p AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) AS place FROM s),
+    l AS (SELECT *, CASE (place - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS weight, 2 * source_size AS most FROM p),
+    v AS (SELECT *, ((SELECT sum(source_size) FROM l) * 1.5e0
+                  - coalesce(sum(most) OVER (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                 / ((SELECT sum(weight) FROM l)
+                  - coalesce(sum(weight) OVER (ORDER BY most / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+                 AS level FROM l),
+    c AS (SELECT arg_min(level, most / weight) FILTER (WHERE level < most / weight) AS chosen FROM v),
+    t AS (SELECT source, source_size, least(CAST(most AS DOUBLE), coalesce(chosen * weight, CAST(most AS DOUBLE))) AS target FROM v, c),
+    b AS (SELECT r, doc_id, size, source_size, target,
+                 CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS rounds,
+                 coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(concat_ws('/', 'mix', CAST(doc_id AS VARCHAR), CAST(size AS VARCHAR))),
+                     doc_id, size, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+          FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+    SELECT doc_id, size, source_size, target,
+           CAST(least(2 * size, rounds * size + greatest(0, least(size, CAST(floor(target - rounds * source_size) AS BIGINT) - before))) AS BIGINT) AS taken
+    FROM b""",
+)
+def op7_mixing(spark, sf_dir):
+    return mixing.plan(_table(spark, sf_dir, "documents")).drop("row")
+
+
+@_query(
+    "op10_quality_rules",
+    f"""
+    WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS.format(text='text')} AS w FROM documents),
+    g AS (SELECT r, unnest(range(1, len(w) - 1)) AS i, w FROM d WHERE len(w) >= 3),
+    k AS (SELECT r, i, array_to_string(w[i:i + 2], ' ') AS g FROM g),
+    m AS (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM k),
+    c AS (SELECT r, count(DISTINCT i + o) AS n_repeat_words FROM m, (SELECT unnest(range(3)) AS o) WHERE n > 1 GROUP BY r),
+    l AS (SELECT r, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+    x AS (SELECT d.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                 CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                 CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+                 CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+          FROM d JOIN l USING (r) LEFT JOIN c USING (r)),
+    y AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM x)
+    SELECT doc_id, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND NOT (5 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+                                    OR 10 * n_dup_lines > 5 * n_lines) AS kept
+    FROM y""",
+)
+def op10_quality_rules(spark, sf_dir):
+    return rules.report(_table(spark, sf_dir, "documents"))
