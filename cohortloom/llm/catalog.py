@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import mixing, rules, substring
+from cohortloom.llm import mixing, packing, rules, shards, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -100,3 +101,14 @@ def op7_mixing(spark, sf_dir):
 )
 def op10_quality_rules(spark, sf_dir):
     return rules.report(_table(spark, sf_dir, "documents"))
+
+
+@_query("op5_best_fit_packing")
+def op5_best_fit_packing(spark, sf_dir):
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op3_training_order_shards")
+def op3_training_order_shards(spark, sf_dir):
+    vocabulary = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return shards.write_shards(_table(spark, sf_dir, "documents"), vocabulary, is_stored=True)
