@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import mixing, packing, rules, shards, substring
+from cohortloom.llm import lm, mixing, packing, rules, shards, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -112,3 +112,8 @@ def op5_best_fit_packing(spark, sf_dir):
 def op3_training_order_shards(spark, sf_dir):
     vocabulary = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     return shards.write_shards(_table(spark, sf_dir, "documents"), vocabulary, is_stored=True)
+
+
+@_query("op8_backoff_lm")
+def op8_backoff_lm(spark, sf_dir):
+    return lm.score(_table(spark, sf_dir, "documents"))
