@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import lm, mixing, packing, rules, shards, substring
+from cohortloom.llm import lm, mixing, packing, quality, rules, shards, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -117,3 +117,9 @@ def op3_training_order_shards(spark, sf_dir):
 @_query("op8_backoff_lm")
 def op8_backoff_lm(spark, sf_dir):
     return lm.score(_table(spark, sf_dir, "documents"))
+
+
+@_query("op9_quality_classifier")
+def op9_quality_classifier(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, quality.grades_of(_table(spark, sf_dir, "labels")), 3))
