@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import lm, mixing, packing, quality, rules, shards, substring
+from cohortloom.llm import jaccard, lm, mixing, packing, quality, rules, shards, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -123,3 +123,8 @@ def op8_backoff_lm(spark, sf_dir):
 def op9_quality_classifier(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit(docs, quality.grades_of(_table(spark, sf_dir, "labels")), 3))
+
+
+@_query("op4_ngram_jaccard")
+def op4_ngram_jaccard(spark, sf_dir):
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), is_stored=True).drop("row", "group_row")
