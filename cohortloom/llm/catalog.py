@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import jaccard, lm, mixing, packing, quality, rules, shards, substring
+from cohortloom.llm import htmltext, jaccard, lm, mixing, packing, quality, rules, shards, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -128,3 +128,8 @@ def op9_quality_classifier(spark, sf_dir):
 @_query("op4_ngram_jaccard")
 def op4_ngram_jaccard(spark, sf_dir):
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), is_stored=True).drop("row", "group_row")
+
+
+@_query("op2_html_extraction")
+def op2_html_extraction(spark, sf_dir):
+    return htmltext.main_texts(_table(spark, sf_dir, "pages"))
