@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortloom.llm import htmltext, jaccard, lm, mixing, packing, quality, rules, shards, substring
+from cohortloom.llm import ann, htmltext, jaccard, lm, mixing, packing, quality, rules, shards, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -133,3 +133,11 @@ def op4_ngram_jaccard(spark, sf_dir):
 @_query("op2_html_extraction")
 def op2_html_extraction(spark, sf_dir):
     return htmltext.main_texts(_table(spark, sf_dir, "pages"))
+
+
+@_query("op1_nearest_neighbours")
+def op1_nearest_neighbours(spark, sf_dir):
+    index = ann.build(_table(spark, sf_dir, "embeddings"), is_stored=True)
+    if index is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return ann.search(index, index.table.filter("vec_id % 100 = 0"))
