@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.common import release, slices, step, stored, texts_of
+from cohortloom.llm.common import slices, step, stored, texts_of
 from cohortloom.llm.wordhash import Runs, U, Words, mix, whole_windows
 
 #: Words of a run that is looked for, and of the phrase it chooses.
@@ -108,7 +108,7 @@ def _expand(lists: pa.ListArray, first: np.ndarray) -> tuple[np.ndarray, np.ndar
     return start + within, np.repeat(doc, number)
 
 
-def _kept_rows(length: int, texts: bool):
+def _kept_rows(length: int, carry: str, texts: bool):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             words = Words(part["text"], hashed=False)
@@ -125,7 +125,7 @@ def _kept_rows(length: int, texts: bool):
                 sha.append(hashlib.sha256(kept).hexdigest())
                 if texts:
                     text.append(part["text"][d].as_py() if not removed[d] else kept.decode())
-            columns = {"row": part["row"], "doc_id": part["doc_id"], "n_words": pa.array(words.counts), "n_removed": pa.array(removed), "kept_sha256": pa.array(sha)}
+            columns = {"row": part["row"], carry: part[carry], "n_words": pa.array(words.counts), "n_removed": pa.array(removed), "kept_sha256": pa.array(sha)}
             if texts:
                 columns["kept"] = pa.array(text, pa.string())
             yield pa.RecordBatch.from_pydict(columns)
@@ -155,16 +155,29 @@ def duplicate_runs(texts: DataFrame, length: int = LENGTH, block: int = BLOCK) -
     return step(found.filter("not boundary").select("row", "runs").unionByName(again), "runs")
 
 
-def remove_duplicates(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, id_col: str = "doc_id",
-                      text_col: str = "text", is_stored: bool = False, keep_text: bool = True) -> DataFrame:
+def _without_duplicates(texts: DataFrame, carry: str, length: int, block: int, keep_text: bool) -> DataFrame:
+    spans = duplicate_runs(texts, length, block).groupBy("row").agg(F.collect_list("runs").alias("runs"))
+    kind = texts.schema[carry].dataType.simpleString()
+    schema = f"row long, {carry} {kind}, n_words long, n_removed long, kept_sha256 string" + ", kept string" * keep_text
+    return texts.join(spans, "row", "left").mapInArrow(_kept_rows(length, carry, keep_text), schema)
+
+
+def remove_duplicates(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text",
+                      is_stored: bool = False, keep_text: bool = True) -> DataFrame:
     """Every text without the words that lie in a run of ``length`` words that starts anywhere else too.
 
-    Returns ``doc_id, n_words, n_removed, kept_sha256`` (of the kept words joined by one space), ``row``, and with
-    ``keep_text`` the text ``kept``: unchanged where nothing goes, else the kept words joined by one space.
+    Returns ``row, doc_id, n_words, n_removed, kept_sha256`` (of the kept words joined by one space) and, with ``keep_text``,
+    the text ``kept``: unchanged where nothing goes, else the kept words joined by one space.
     """
-    source = stored(docs, is_stored)
-    texts = texts_of(source, id_col, text_col)
-    spans = duplicate_runs(texts, length, block).groupBy("row").agg(F.collect_list("runs").alias("runs"))
-    schema = "row long, doc_id %s, n_words long, n_removed long, kept_sha256 string" % source.schema[id_col].dataType.simpleString()
-    release(docs.sparkSession)
-    return texts.join(spans, "row", "left").mapInArrow(_kept_rows(length, keep_text), schema + ", kept string" * keep_text)
+    return _without_duplicates(texts_of(stored(docs, is_stored), id_col, text_col), "doc_id", length, block, keep_text)
+
+
+def deduplicated(docs: DataFrame, length: int = LENGTH, block: int = BLOCK, text_col: str = "text", is_stored: bool = False) -> DataFrame:
+    """``docs`` with the text that is kept; the other columns as they were."""
+    rest = [c for c in docs.columns if c != text_col]
+    texts = stored(docs, is_stored).select(
+        F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"),
+        F.struct(F.lit(True).alias("here"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(rest)]).alias("rest"),
+    )
+    kept = _without_duplicates(texts, "rest", length, block, True)
+    return kept.select(*[F.col("kept").alias(c) if c == text_col else F.col(f"rest.c{rest.index(c)}").alias(c) for c in docs.columns])
