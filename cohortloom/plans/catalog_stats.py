@@ -117,6 +117,20 @@ def cox_univariate_scan(spark, sf_dir):
     return survival.cox_univariate_scan(view(spark, sf_dir, "fx_cox"), "feature", "x", "os_time", "os", alpha=None)
 
 
+@query("cox_start", with_views("fx_cox", """+v AS (SELECT feature, os_time, os, x::DOUBLE AS x FROM fx_cox),
+    k AS (SELECT feature, AVG(x) AS c, SQRT(AVG(x * x) - AVG(x) * AVG(x)) AS s FROM v GROUP BY 1),
+    z AS (SELECT feature, os_time, os, (x - c) / s AS z FROM v JOIN k USING (feature)),
+    t AS (SELECT feature, os_time, COUNT(*) AS r0, SUM(z) AS r1, SUM(z * z) AS r2, SUM(os)::BIGINT AS d, SUM(os * z) AS d1, SUM(os * z * z) AS d2 FROM z GROUP BY 1, 2),
+    q AS (SELECT *, SUM(r0) OVER w AS s0, SUM(r1) OVER w AS s1, SUM(r2) OVER w AS s2 FROM t WINDOW w AS (PARTITION BY feature ORDER BY os_time DESC)),
+    e AS (SELECT *, unnest(range(d)) AS l FROM q WHERE d > 0)
+    SELECT feature, ROUND(-SUM(LN(s0 - l)), 4) AS loglik, ROUND(SUM(d1 / d - (s1 - l / d * d1) / (s0 - l)), 4) + 0.0 AS score,
+           ROUND(SUM((s2 - l / d * d2) / (s0 - l) - POWER((s1 - l / d * d1) / (s0 - l), 2)), 4) AS info FROM e GROUP BY 1"""))
+def cox_start(spark, sf_dir):
+    """Where the scan starts: the terms of the tied deaths at coefficient 0, in plain SQL next to it."""
+    found = survival.cox_start(view(spark, sf_dir, "fx_cox"), "feature", "x", "os_time", "os")
+    return found.select("feature", F.round("loglik", 4).alias("loglik"), (F.round("score", 4) + F.lit(0.0)).alias("score"), F.round("info", 4).alias("info"))
+
+
 def cells_long(spark, sf_dir, extra=("grp",)):
     """The labelled vectors in long form, features by position."""
     rows = view(spark, sf_dir, "fx_cells").select("sample", *extra, F.posexplode("embedding").alias("at", "value"))

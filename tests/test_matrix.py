@@ -6,14 +6,15 @@ from pyspark.sql import functions as F
 from cohortloom.operators import impute, matrix
 
 
-def test_region_counts_of_three_ranges(spark):
-    sets = [range(10), range(5, 15), range(3, 8)]
-    members = spark.createDataFrame([(i, s) for s, r in enumerate(sets) for i in r], "item int, set_no int")
+def test_region_counts_of_overlapping_sets(spark):
+    """Multiples of 2, 3 and 5 up to 30: the regions were counted by hand."""
+    members = spark.createDataFrame([(i, at) for at, step in enumerate((2, 3, 5)) for i in range(step, 31, step)], "item int, set_no int")
     regions = matrix.region_counts(members, 3)
-    assert {r.region: r.n for r in regions.collect()} == {"001": 0, "010": 5, "011": 0, "100": 3, "101": 2, "110": 2, "111": 3}
+    # 30 lies in all; 6, 12, 18, 24; 10, 20; 15; then 2, 4, 8, 14, 16, 22, 26, 28; 3, 9, 21, 27; 5, 25.
+    assert {r.region: r.n for r in regions.collect()} == {"111": 1, "110": 4, "101": 2, "011": 1, "100": 8, "010": 4, "001": 2}
     labels = {r.region: r.label for r in matrix.region_labels(regions, ["percent", "number", "logic"]).collect()}
-    assert labels["100"] == "100: 3(20.0%)"
-    assert {r.label for r in matrix.region_labels(regions, ["number"]).where("region = '010'").collect()} == {"5"}
+    assert labels["100"] == "100: 8(36.4%)"
+    assert {r.label for r in matrix.region_labels(regions, ["number"]).where("region = '010'").collect()} == {"4"}
 
 
 def test_empty_union_has_no_percent(spark):
