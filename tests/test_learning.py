@@ -49,6 +49,49 @@ def test_training_lowers_the_loss_and_ignores_partitioning(spark):
     assert {r.feature for r in embed.as_features(embed.predict(df, one)).collect()} == {"Feature1", "Feature2"}
 
 
+def test_mini_batches_count_all_rows(spark):
+    """The loss of an epoch and the held-out loss are over all rows that are the network's, whatever the batch."""
+    draw = np.random.default_rng(6)
+    df = vectors_of(spark, draw.normal(size=(90, 4))).withColumn("fold", F.pmod(F.xxhash64("sample"), F.lit(3)).cast("int"))
+    sizes = {r.fold: r.n for r in df.groupBy("fold").agg(F.count("*").alias("n")).collect()}
+    still = [embed.Network(neurons=8, bottleneck=2, epochs=2, rate=0.0, fold=f) for f in range(3)]
+    whole, parts = embed.train(df, still), embed.train(df, still, batch=16)
+    assert [t.held_rows for t in parts] == [sizes[f] for f in range(3)]
+    for a, b in zip(whole, parts):
+        assert (a.loss, a.held_out) == (pytest.approx(b.loss), pytest.approx(b.held_out))
+        rows = np.array([r.vector for r in df.where(F.col("fold") == b.network.fold).collect()])
+        out = embed._forward(b.weights, rows)[-1]
+        assert b.held_out == pytest.approx(np.mean((out - rows) ** 2))
+
+
+def test_networks_train_alike_alone_and_together(spark, monkeypatch):
+    df = vectors_of(spark, np.random.default_rng(8).normal(size=(60, 4)))
+    networks = [
+        embed.Network(neurons=8, bottleneck=2, epochs=4), embed.Network(neurons=8, bottleneck=2, epochs=4, noise_shift=0.5, noise_sigma=0.3),
+        embed.Network(neurons=8, bottleneck=2, epochs=6, noise_sigma=1.0, seed=5),
+    ]
+    together = embed.train(df, networks, batch=20)
+    monkeypatch.setattr(embed, "SHARED_WEIGHTS", 1)
+    for one, alone in zip(together, embed.train(df, networks, batch=20)):
+        assert one.loss == pytest.approx(alone.loss) and one.epochs == alone.network.epochs
+
+
+def test_patience_is_each_networks_own(spark):
+    df = vectors_of(spark, np.random.default_rng(9).normal(size=(40, 4)))
+    networks = [embed.Network(neurons=8, bottleneck=2, epochs=12, rate=0.0), embed.Network(neurons=8, bottleneck=2, epochs=12, rate=0.01)]
+    still, moving = embed.train(df, networks, patience=3)
+    assert still.epochs == 4 and moving.epochs == 12
+
+
+def test_default_networks_and_grid_points_can_be_trained(spark):
+    df = vectors_of(spark, np.random.default_rng(10).normal(size=(12, 5)))
+    trained = embed.train(df, [replace(n, epochs=1) for n in embed.VARIANTS.values()])
+    assert all(np.isfinite(t.loss) and t.epochs == 1 for t in trained)
+    points = [embed.Network(neurons=n, bottleneck=b, fold=f) for n in embed.GRID["neurons"] for b in embed.GRID["bottleneck"] for f in range(3)]
+    assert sorted(i for g in embed._groups(points, 5) for i in g) == list(range(len(points)))
+    assert np.isfinite(embed.grid_search(df, {"neurons": [3000], "bottleneck": [200], "batch": [32]}, epochs=1).head().held_out)
+
+
 def test_saved_weights_encode_alike(spark, tmp_path):
     df = vectors_of(spark, np.random.default_rng(2).normal(size=(20, 4)))
     trained = embed.train(df, [embed.Network(neurons=8, bottleneck=2, epochs=2)])[0]
