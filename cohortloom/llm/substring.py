@@ -150,7 +150,7 @@ def duplicate_runs(texts: DataFrame, length: int = LENGTH, block: int = BLOCK) -
         .mapInArrow(_runs_at_boundaries(length), "run1 long, run2 long, row long, start long"),
         "boundaries",
     )
-    twice = checked.groupBy("run1", "run2").count().filter("count > 1").drop("count")
+    twice = step(checked.groupBy("run1", "run2").count().filter("count > 1").drop("count"), "repeated-runs")
     again = checked.join(twice, ["run1", "run2"]).select("row", (F.col("start") * 256 + 1).alias("runs"))
     return step(found.filter("not boundary").select("row", "runs").unionByName(again), "runs")
 
