@@ -1,8 +1,9 @@
 """Hidden covariates of counts by iteratively weighted surrogate variables.
 
 Each round weighs genes by the chance that hidden factors, and not the group, move them, and takes the leading sample
-directions of the weighted log counts. Two jobs per round: a histogram of transformed p-values, and a samples-by-samples
-product summed over genes.
+directions of the weighted log counts: first a histogram of transformed p-values, then block power iteration. A step of it
+multiplies the genes' rows with a few directions and sums the products over genes, so what moves and what the driver holds
+is samples x directions; there is no product of samples by samples and no limit on samples.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from pyspark.sql import DataFrame
 from cohortloom.functions.dist import f_sf
 from cohortloom.operators.counts import GeneRows, count_matrix, pack_genes
 from cohortloom.operators.sums import summed_array
-from cohortloom.runtime import has_at_most, materialize
+from cohortloom.runtime import materialize
 
-MAX_SAMPLES = 4_000  # the samples-by-samples product then takes 128 MB
+#: Directions that are iterated beyond those asked for, steps at most, and the change at which they are settled.
+SPARE, STEPS, SETTLED = 8, 60, 1e-9
 BINS, EDGE = 400, 8.0
 
 
@@ -65,8 +67,6 @@ def _local_fdr(histogram: np.ndarray, high: float) -> np.ndarray:
 def hidden_covariates(counts: DataFrame, design: DataFrame, group: str, n: int = 2, rounds: int = 5) -> DataFrame:
     """(sample, sv1 .. svn) for the samples of ``design`` (sample, group)."""
     known = materialize(design.select("sample", group).dropna(), "design")
-    if not has_at_most(known, MAX_SAMPLES):
-        raise ValueError(f"the product of samples by samples is limited to {MAX_SAMPLES} samples")
     genes = pack_genes(counts, known)
     genes = replace(genes, rows=materialize(genes.rows, "gene-rows"))
     place = genes.place()
@@ -86,8 +86,6 @@ def hidden_directions(genes: GeneRows, at: np.ndarray, groups: np.ndarray, n: in
     The entry of largest size is positive in every direction, which fixes the sign. ``genes.rows`` is cheap to read.
     """
     size, whole = len(at), len(genes.samples)
-    if size > MAX_SAMPLES:
-        raise ValueError(f"the product of samples by samples is limited to {MAX_SAMPLES} samples")
     sf, rows = genes.size_factors[at], genes.rows
     with_group = np.column_stack([np.ones(size), groups])
     without = np.ones((size, 1))
@@ -95,13 +93,14 @@ def hidden_directions(genes: GeneRows, at: np.ndarray, groups: np.ndarray, n: in
     def logs(batch: pd.DataFrame) -> np.ndarray:
         return np.log(count_matrix(batch, whole)[:, at] / sf + 1)
 
-    def residual_product(batch: pd.DataFrame) -> np.ndarray:
+    def residuals(batch: pd.DataFrame) -> np.ndarray:
         data = logs(batch)
         q, _ = np.linalg.qr(with_group)
-        rest = data - (data @ q) @ q.T
-        return (rest.T @ rest).ravel()
+        return data - (data @ q) @ q.T
 
-    directions = _leading(summed_array(rows, residual_product, size * size).reshape(size, size), n)
+    directions = _leading(rows, residuals, size, n)
+    if directions is None:
+        return np.zeros((size, n))
     for _ in range(rounds):
         hidden = directions
         both, only = np.column_stack([with_group, hidden]), np.column_stack([without, hidden])
@@ -118,23 +117,46 @@ def hidden_directions(genes: GeneRows, at: np.ndarray, groups: np.ndarray, n: in
         group_rate = _local_fdr(total[:BINS], total[BINS])
         hidden_rate = _local_fdr(total[BINS + 1 : -1], total[-1])
 
-        def weighted_product(batch: pd.DataFrame, both=both, only=only, group_rate=group_rate, hidden_rate=hidden_rate) -> np.ndarray:
+        def weighted(batch: pd.DataFrame, both=both, only=only, group_rate=group_rate, hidden_rate=hidden_rate) -> np.ndarray:
             data = logs(batch)
             moved_by_group = 1 - group_rate[_bin(_f_p(data, both, only))]
             moved_by_hidden = 1 - hidden_rate[_bin(_f_p(data, only, without))]
             data = data * (moved_by_hidden * (1 - moved_by_group))[:, None]
-            data = data - data.mean(axis=1, keepdims=True)
-            return (data.T @ data).ravel()
+            return data - data.mean(axis=1, keepdims=True)
 
-        product = summed_array(rows, weighted_product, size * size).reshape(size, size)
-        if not np.any(product):
+        found = _leading(rows, weighted, size, n, directions)
+        if found is None:
             break
-        directions = _leading(product, n)
+        directions = found
     return directions
 
 
-def _leading(product: np.ndarray, n: int) -> np.ndarray:
-    _, vectors = np.linalg.eigh(product)
-    top = vectors[:, ::-1][:, :n]
+def _leading(rows: DataFrame, values, size: int, n: int, near: np.ndarray | None = None) -> np.ndarray | None:
+    """The ``n`` leading right singular vectors of the matrix whose rows ``values`` gives batch by batch; None if it is zero.
+
+    Block power iteration from fixed random directions and ``near``, which are close if an earlier matrix was.
+    """
+    width = min(size, n + SPARE)
+    block = np.random.default_rng(0).standard_normal((size, width))
+    if near is not None:
+        block[:, :n] = near
+    block, _ = np.linalg.qr(block)
+    last = None
+    for _ in range(STEPS):
+
+        def product(batch: pd.DataFrame, block=block) -> np.ndarray:
+            data = values(batch)
+            return (data.T @ (data @ block)).ravel()
+
+        image = summed_array(rows, product, size * width).reshape(size, width)
+        if not np.any(image):
+            return None
+        # The best directions within the block, then on to its image.
+        strength, turn = np.linalg.eigh((block.T @ image + image.T @ block) / 2)
+        top = block @ turn[:, ::-1][:, :n]
+        if last is not None and np.all(1 - np.abs((top * last).sum(axis=0)) < SETTLED):
+            break
+        last = top
+        block, _ = np.linalg.qr(image @ turn[:, ::-1])
     signs = np.sign(top[np.abs(top).argmax(axis=0), np.arange(n)])
     return top * np.where(signs == 0, 1, signs)

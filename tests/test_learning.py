@@ -3,6 +3,7 @@
 from dataclasses import replace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +224,32 @@ def test_hidden_batch_is_found(planted):
     assert abs(np.corrcoef([got[s] for s in range(16)], batch)[0, 1]) > 0.9
 
 
+def test_leading_directions_are_those_of_the_whole_product(spark):
+    draw = np.random.default_rng(12)
+    data = draw.normal(size=(90, 25)) * np.linspace(3, 0.5, 25)
+    rows = spark.createDataFrame([(r.tolist(),) for r in data], "v array<double>").repartition(3)
+    found = sva._leading(rows, lambda b: np.stack(b["v"]), 25, 3)
+    want = np.linalg.svd(data)[2][:3].T
+    assert np.abs((found * want).sum(axis=0)) == pytest.approx(np.ones(3), abs=1e-6)
+    assert (found[np.abs(found).argmax(axis=0), np.arange(3)] > 0).all()
+    assert sva._leading(rows.limit(0), lambda b: np.stack(b["v"]), 25, 3) is None
+
+
+def test_hidden_batch_of_many_samples(spark):
+    """4,500 samples: their product with each other would not fit, the directions do."""
+    draw = np.random.default_rng(13)
+    size, genes = 4500, 40
+    batch = draw.integers(0, 2, size)
+    effect = np.where(np.arange(genes) % 2, draw.normal(size=genes), 0.0)  # every other gene is left alone
+    means = 200 * np.exp(np.outer(effect, batch) + draw.normal(size=(genes, size)) * 0.1)
+    table = spark.createDataFrame(
+        pd.DataFrame({"gene": np.repeat([f"g{i:02d}" for i in range(genes)], size), "sample": np.tile(np.arange(size), genes), "cnt": draw.poisson(means).ravel()})
+    ).selectExpr("gene", "sample", "cast(cnt as long) AS cnt")
+    design = spark.createDataFrame(pd.DataFrame({"sample": np.arange(size), "grp": draw.integers(0, 2, size)}))
+    got = sva.hidden_covariates(table, design, "grp", 1, rounds=1).toPandas().sort_values("sample")
+    assert abs(np.corrcoef(got.sv1, batch)[0, 1]) > 0.9
+
+
 def test_one_schema_over_methods(planted):
     table, design, _, _ = planted
     both = nbtest.run_tests(table, design.withColumn("run_id", F.lit("r")), "grp", "all", batch_removal=True)
