@@ -26,11 +26,12 @@ def drug_interactions(terms: DataFrame) -> DataFrame:
 def nested_terms(long: DataFrame) -> DataFrame:
     """Long (gene, category, partner, score, interaction_type) rows as matched terms, in a fixed order.
 
-    A gene with very many interactions is split into several terms, which the caller sees as several rows.
+    A gene with very many interactions is split into several terms, which the caller sees as several rows; each knows the
+    number of them all.
     """
     types = long.groupBy("gene", "partner", "score").agg(F.array_sort(F.collect_set("interaction_type")).alias("types"))
     entry = F.struct("partner", "score", "types")
-    parts = collected_parts(types, ["gene"], "found", entry)
+    parts = collected_parts(types, ["gene"], "found", entry, total="total")
     names = long.select("gene", "category").distinct().groupBy("gene").agg(F.array_sort(F.collect_list("category")).alias("cats"))
     return parts.join(names, "gene").select(
         F.col("gene").alias("geneName"),
@@ -41,11 +42,12 @@ def nested_terms(long: DataFrame) -> DataFrame:
                 i["partner"].alias("drugName"), i["score"].cast("double").alias("score"), i["types"].alias("interactionTypes")
             ),
         ).alias("interactions"),
+        F.col("total").cast("int").alias("interactionCount"),
     )
 
 
 def structure_ids(links: DataFrame) -> DataFrame:
-    """Reviewed entries per gene: joined entries, joined distinct structure ids, and the number of those ids.
+    """Reviewed entries per gene: joined entries, joined distinct structure ids, and the number of all those ids.
 
     Ids arrive ``;``-joined per entry. Repeats go before the lists are built, so a gene's list holds distinct ids only.
     """
@@ -53,13 +55,14 @@ def structure_ids(links: DataFrame) -> DataFrame:
     ids = reviewed.select("gene", F.explode(kept_items(F.split(F.coalesce("pdb", F.lit("")), ";"))).alias("id")).distinct()
     id_lists = collected_parts(ids, ["gene"], "ids", F.col("id"))
     entry_lists = collected_parts(reviewed.select("gene", "entry").distinct(), ["gene"], "entries", F.col("entry"))
-    joined = entry_lists.join(id_lists, ["gene", "part"], "full")
+    numbers = ids.groupBy("gene").agg(F.count(F.lit(1)).cast("int").alias("number"))
+    joined = entry_lists.join(id_lists, ["gene", "part"], "full").join(numbers, "gene", "left")
     return joined.select(
         "gene",
         "part",
         F.coalesce(F.array_join("entries", ";"), F.lit("")).alias("entries"),
         F.coalesce(F.array_join("ids", ";"), F.lit("")).alias("pdb_ids"),
-        F.coalesce(F.size("ids"), F.lit(0)).alias("pdb_count"),
+        F.coalesce("number", F.lit(0)).alias("pdb_count"),
     )
 
 

@@ -52,7 +52,8 @@ def multimap(frames: list[DataFrame], key: str, value: str) -> DataFrame:
 
 
 def joined_text(df: DataFrame, key: str, value: str, separator: str = ";") -> DataFrame:
-    """Distinct non-empty values of each key, sorted and joined, with their number."""
+    """Distinct non-empty values of each key, sorted and joined, with their number; a long list goes on in further parts, all
+    with the number of the whole key."""
     kept = df.where(F.col(value).isNotNull() & (F.col(value) != "")).select(key, value).distinct()
-    parts = collected_parts(kept, [key], "items", F.col(value))
-    return parts.select(key, "part", F.array_join("items", separator).alias("joined"), F.size("items").cast("long").alias("n"))
+    parts = collected_parts(kept, [key], "items", F.col(value), total="n")
+    return parts.select(key, "part", F.array_join("items", separator).alias("joined"), "n")

@@ -69,18 +69,22 @@ def read_interactions(documents: DataFrame, column: str) -> DataFrame:
 
 
 def interaction_rows(terms: DataFrame) -> DataFrame:
-    """Gene, categories, ``drug;score;types`` joined by ``&``, the same as a list, and the count."""
+    """Gene, categories, ``drug;score;types`` joined by ``&``, the same as a list, and the count.
+
+    The count is ``interactionCount`` where the terms have it, as those of a gene that fills several terms do.
+    """
 
     def text(one: Column) -> Column:
         return interaction_text(one["drugName"], one["score"], one["interactionTypes"])
 
     listed = F.transform("interactions", text)
+    count = F.col("interactionCount") if "interactionCount" in terms.columns else F.size("interactions")
     return terms.select(
         F.col("geneName").alias("gene"),
         F.array_join(F.transform("geneCategories", lambda c: c["name"]), ",").alias("categories"),
         F.array_join(listed, "&").alias("interactions_text"),
         listed.alias("interactions_list"),
-        F.size("interactions").alias("n_interactions"),
+        count.alias("n_interactions"),
     )
 
 

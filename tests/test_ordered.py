@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.operators import lists, ordered, sampling
+from cohortloom.operators import annotate, lists, ordered, relational, sampling
 
 
 @pytest.fixture(scope="module")
@@ -67,6 +67,21 @@ def test_a_repeated_value_is_split_and_kept_whole(spark):
     assert len(parts) > 3 and sorted(v for r in parts for v in r.vs) == [7] * 950 + list(range(950, 1000))
 
 
+def test_counts_of_long_lists_are_those_of_the_whole_key(spark, monkeypatch):
+    monkeypatch.setattr(lists.collected_parts, "__defaults__", (100, None))
+    links = spark.range(250).selectExpr("'g' AS gene", "concat('E', id) AS entry", "'reviewed' AS reviewed", "concat(id, ';x') AS pdb")
+    rows = annotate.structure_ids(links).collect()
+    assert len(rows) > 1 and {r.pdb_count for r in rows} == {251}
+    one = lists.one_row_per_key(annotate.structure_ids(links), "gene", ["entries", "pdb_ids"]).collect()
+    assert len(one) == 1 and one[0].pdb_count == 251
+    assert sorted(one[0].pdb_ids.split(";")) == sorted([*map(str, range(250)), "x"])
+    assert sorted(one[0].entries.split(";")) == sorted(f"E{i}" for i in range(250))
+    assert {r.n for r in relational.joined_text(links, "gene", "entry").collect()} == {250}
+    long = spark.range(250).selectExpr("'g' AS gene", "'c' AS category", "concat('p', id) AS partner", "1 AS score", "'t' AS interaction_type")
+    drugs = annotate.drug_interactions(annotate.nested_terms(long)).collect()
+    assert len(drugs) > 1 and {r.n_interactions for r in drugs} == {250}
+
+
 def test_first_per_key_takes_the_smallest(spark):
     df = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, None)], "k string, o int, v string")
     assert {tuple(r) for r in lists.first_per_key(df, ["k"], ["o"]).collect()} == {("a", 1, "y"), ("b", 5, None)}
