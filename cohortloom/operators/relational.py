@@ -30,6 +30,15 @@ def outer_by_union(frames: dict[str, DataFrame], key: str, value: str) -> DataFr
     return union_all(named).groupBy(key).pivot("_from", list(frames)).agg(F.first(value, ignorenulls=True))
 
 
+def outer_from_long(df: DataFrame, key: str, column: str, value: str, names: dict) -> DataFrame:
+    """The same full outer join where the frames are slices of one long table by ``column``: one scan, one aggregate.
+
+    ``names`` gives the output column of each value of ``column``; other values take no part.
+    """
+    wide = df.where(F.col(column).isin(list(names))).groupBy(key).pivot(column, list(names)).agg(F.first(value, ignorenulls=True))
+    return wide.select(key, *[F.col(f"`{v}`").alias(name) for v, name in names.items()])
+
+
 def full_outer_pair(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.join(right, key, "full")
 

@@ -266,8 +266,7 @@ _CUT_RUNS = "+cut AS (SELECT * FROM fx_deg WHERE ABS(log2fc) >= 1 AND pvalue < 0
 )
 def join_full_outer_nway(spark, sf_dir):
     cut = diffexp.two_sided_effect(view(spark, sf_dir, "fx_deg"), 1.0, 0.5, p="pvalue")
-    runs = {f"run_{r}": cut.where(F.col("run_id") == r).select("gene", "log2fc") for r in range(10)}
-    return relational.outer_by_union(runs, "gene", "log2fc")
+    return relational.outer_from_long(cut, "gene", "run_id", "log2fc", {r: f"run_{r}" for r in range(10)})
 
 
 @query(
