@@ -13,21 +13,34 @@ INTERACTION_SCHEMA = (
     "interactions:array<struct<drugName:string, score:double, interactionTypes:array<string>>>>>"
 )
 
+#: Columns that a delimited file may have; Spark's own limit is 20,480.
+MOST_COLUMNS = 1_000_000
+
 
 def read_tsv(spark: SparkSession, path: str, schema: str | None = None, columns: list[str] | None = None) -> DataFrame:
     """Tab-separated text with a header; a ``.gz`` file is read as it is. Columns are text unless ``schema`` is given.
 
     A single gzip file cannot be split and is read by one task, so its rows are dealt out again after the column choice.
     """
-    df = spark.read.csv(path, sep="\t", header=True, schema=schema, nullValue="")
-    chosen = df.select(*columns) if columns else df
-    return chosen.repartition(spark.sparkContext.defaultParallelism) if path.endswith(".gz") else chosen
+    df = spark.read.csv(path, sep="\t", header=True, schema=schema, nullValue="", maxColumns=MOST_COLUMNS)
+    return dealt_out(df, df.select(*columns) if columns else df)
+
+
+def dealt_out(read: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores if ``read`` has a gzip file, which one task reads from end to end; else as they are."""
+    spark = read.sparkSession
+    return rows.repartition(spark.sparkContext.defaultParallelism) if any(f.endswith(".gz") for f in read.inputFiles()) else rows
+
+
+def _header(spark: SparkSession, path: str) -> DataFrame:
+    """(at, name) of the cells of a file's first line."""
+    first = spark.read.text(path).limit(1)
+    return first.select(F.posexplode(F.split("value", "\t")).alias("at", "name")).withColumn("name", F.regexp_replace("name", '^"|"$', ""))
 
 
 def header_names(spark: SparkSession, path: str, skip: int = 1) -> DataFrame:
     """The column names of a wide file without its id column(s), one per row; only the first line is read."""
-    names = spark.read.csv(path, sep="\t", header=True).columns[skip:]
-    return spark.createDataFrame([(name,) for name in names], "sample string")
+    return _header(spark, path).where(F.col("at") >= skip).select(F.col("name").alias("sample"))
 
 
 def matrix_to_long(wide: DataFrame, id_column: str, samples: list[str] | None = None) -> DataFrame:
@@ -45,21 +58,32 @@ def matrix_to_long(wide: DataFrame, id_column: str, samples: list[str] | None =
 
 
 def read_matrix(spark: SparkSession, path: str, samples: list[str] | None = None) -> DataFrame:
-    """A wide matrix file as long rows; ``samples`` limits the columns taken."""
-    names = spark.read.csv(path, sep="\t", header=True).columns
-    wanted = names[1:] if samples is None else samples
-    wide = read_tsv(spark, path, columns=[f"`{c}`" for c in [names[0], *wanted]])
-    return matrix_to_long(wide, names[0], wanted)
+    """A wide matrix file as long rows; ``samples`` limits the columns taken.
+
+    Lines are split once and their cells meet the names of the first line in a join, so neither the plan nor the driver grows
+    with the samples and there is no limit on columns. Later files of a folder may repeat the first line.
+    """
+    lines = spark.read.text(path)
+    header = _header(spark, path)
+    names = header.where("at > 0").select("at", F.col("name").alias("sample"))
+    if samples is not None:
+        names = names.join(spark.createDataFrame([(s,) for s in samples], "sample string"), "sample", "left_semi")
+    corner = header.where("at = 0").select(F.col("name").alias("corner"))
+    cells = dealt_out(lines, lines).select(F.split("value", "\t").alias("cells"))
+    rows = cells.select(F.regexp_replace(F.col("cells")[0], '^"|"$', "").alias("feature"), F.posexplode("cells").alias("at", "cell")).where("at > 0")
+    long = rows.join(corner, F.col("feature") == F.col("corner"), "left_anti").join(names, "at")
+    return long.select("sample", "feature", null_if_nan(F.expr("try_cast(cell AS double)")).alias("value")).where("value IS NOT NULL")
 
 
 def read_variants(spark: SparkSession, path: str) -> DataFrame:
     """Variant text: tab-separated, ``#`` comment lines, header; the three columns every analysis uses."""
     df = spark.read.csv(path, sep="\t", header=True, comment="#")
-    return df.select(
+    kept = df.select(
         F.col("Tumor_Sample_Barcode").alias("tumor_sample_barcode"),
         F.col("Hugo_Symbol").alias("hugo_symbol"),
         F.col("Variant_Classification").alias("variant_classification"),
     )
+    return dealt_out(df, kept)
 
 
 def read_interactions(documents: DataFrame, column: str) -> DataFrame:
@@ -143,15 +167,26 @@ def key_map(df: DataFrame, key: str, value: str) -> DataFrame:
     return first_per_key(df.select(key, value).where(F.col(value).isNotNull()), [key], [value])
 
 
-def read_db_table(spark: SparkSession, name: str, first: str = "gene", **jdbc) -> DataFrame:
+def jdbc_options(source: str, bounds: tuple[str, int, int, int] | None = None, **given) -> dict:
+    """Options of a JDBC read of a table or of a bracketed query with an alias.
+
+    ``bounds`` (column, lowest, highest, number) reads it over so many connections; without, one task reads it all.
+    """
+    if bounds is None:
+        return {"dbtable": source, **given}
+    column, low, high, number = bounds
+    return {"dbtable": source, "partitionColumn": column, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(number), **given}
+
+
+def read_db_table(spark: SparkSession, name: str, first: str = "gene", bounds: tuple[str, int, int, int] | None = None, **jdbc) -> DataFrame:
     """A database table (JDBC options from the caller) or, without options, a catalog table; columns get its name as prefix."""
-    df = spark.read.format("jdbc").options(dbtable=name, **jdbc).load() if jdbc else spark.table(name)
+    df = spark.read.format("jdbc").options(**jdbc_options(name, bounds, **jdbc)).load() if jdbc else spark.table(name)
     return df.toDF(first, *[f"{name}_{c}" for c in df.columns[1:]])
 
 
-def read_db_query(spark: SparkSession, text: str, **jdbc) -> DataFrame:
+def read_db_query(spark: SparkSession, text: str, bounds: tuple[str, int, int, int] | None = None, **jdbc) -> DataFrame:
     """The rows of a SQL text, from a database if JDBC options are given, else from the catalog."""
-    return spark.read.format("jdbc").options(query=text, **jdbc).load() if jdbc else spark.sql(text)
+    return spark.read.format("jdbc").options(**jdbc_options(f"({text}) AS q", bounds, **jdbc)).load() if jdbc else spark.sql(text)
 
 
 def verify_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:

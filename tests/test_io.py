@@ -6,6 +6,7 @@ import hashlib
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from cohortloom.operators import annotate, relational
 from cohortloom.plans import analysis, subgroup
@@ -29,6 +30,36 @@ def test_variant_comments_are_skipped(spark, tmp_path):
     assert [tuple(r) for r in readers.read_variants(spark, str(tmp_path / "v.maf")).collect()] == [("T-1", "G", "Silent")]
 
 
+def test_a_matrix_wider_than_the_csv_limit(spark, tmp_path):
+    wide = 21_000
+    (tmp_path / "wide.tsv").write_text(
+        "gene\t" + "\t".join(f"s{i}" for i in range(wide)) + "\n" + "a\t" + "\t".join(str(i) for i in range(wide)) + "\nb\t" + "\t".join(["", "NaN", "1.5", "x"] * (wide // 4)) + "\n"
+    )
+    path = str(tmp_path / "wide.tsv")
+    assert readers.header_names(spark, path).count() == wide
+    long = readers.read_matrix(spark, path)
+    assert long.where("feature = 'a'").selectExpr("count(*)", "sum(value)").head() == (wide, wide * (wide - 1) / 2)
+    assert long.where("feature = 'b'").selectExpr("count(*)", "min(value)", "max(value)").head() == (wide // 4, 1.5, 1.5)
+    assert len(readers.read_tsv(spark, path).columns) == wide + 1
+
+
+def test_gzip_rows_are_dealt_out(spark, tmp_path):
+    import gzip
+
+    folder = tmp_path / "variants"
+    folder.mkdir()
+    with gzip.open(folder / "part.maf.gz", "wt") as out:
+        out.write("#v\nTumor_Sample_Barcode\tHugo_Symbol\tVariant_Classification\n" + "".join(f"T{i}\tG\tSilent\n" for i in range(200)))
+    rows = readers.read_variants(spark, str(folder))
+    assert rows.count() == 200 and rows.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_options_of_a_database_read():
+    assert readers.jdbc_options("t", url="u") == {"dbtable": "t", "url": "u"}
+    got = readers.jdbc_options("(SELECT 1) AS q", ("id", 0, 100, 8), url="u")
+    assert got == {"dbtable": "(SELECT 1) AS q", "partitionColumn": "id", "lowerBound": "0", "upperBound": "100", "numPartitions": "8", "url": "u"}
+
+
 def test_interactions_keep_text_and_list(spark):
     doc = {"matchedTerms": [{"geneName": "G", "geneCategories": [{"name": "KINASE"}, {"name": "X"}], "interactions": [
         {"drugName": "D1", "score": 1.5, "interactionTypes": ["inhibitor", "binder"]}, {"drugName": "D2", "score": 2.0, "interactionTypes": []}]},
