@@ -21,17 +21,16 @@ SLICE_BYTES = 2_000_000
 def stored(df: DataFrame, is_stored: bool) -> DataFrame:
     """``df`` such that reading it twice gives the same rows in the same partitions.
 
-    That holds for a plain scan of files (``is_stored``), so row numbers taken on it repeat when a lost task runs again.
-    Anything else is written to the shared folder first.
+    That holds for a plain scan of files (``is_stored``), so row numbers taken on it repeat when a lost task runs again or a
+    later job reads anew. Anything else is written to the shared folder first. File splits also hang on the number of cores
+    that happen to be there; the number of now is kept for the session, so executors may come and go.
     """
+    spark = df.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
     return df if is_stored else materialize(df, "input")
 
 
-def numbered(df: DataFrame, *columns: str) -> DataFrame:
-    """The columns asked for and ``row``, a number of the row that is the same in each reading of a stored table."""
-    return df.select(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`") for c in columns])
-
-
 def texts_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``text`` (null: empty) and ``row`` of a stored table, whatever else it has."""
     return df.select(
@@ -58,11 +57,15 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
 def release(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of finished steps whose frames are no longer held."""
     gc.collect()
-    spark._jvm.System.gc()
+    jvm = getattr(spark, "_jvm", None)  # sessions without a JVM of their own leave it to their server
+    if jvm is not None:
+        jvm.System.gc()
 
 
 def step(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder; the shuffles behind it may go."""
+    spark = df.sparkSession
     out = materialize(df, name)
-    release(df.sparkSession)
+    del df  # a frame that is still held keeps its shuffles
+    release(spark)
     return out

@@ -51,6 +51,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, seed: str = "mix",
          id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", range_rows: int = RANGE_ROWS) -> DataFrame:
     """``row, doc_id, size, source_size, target, taken`` for every text of a stored table."""
+    docs = stored(docs, True)
     size = n_words(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     sized = step(
         docs.select(
