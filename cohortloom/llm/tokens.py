@@ -1,98 +1,124 @@
 """Token ids of whole texts, with the ids of words seen before kept in the task's process.
 
 Both tokenizers treat the pieces between spaces by themselves, so a text's ids are those of its pieces in order. The pieces a
-process has met are kept up to ``KEPT`` of them; then it starts afresh. Ids are little-endian 32-bit numbers in ``bytes``.
+process has met are kept up to ``KEPT`` of them. Ids are little-endian 32-bit numbers in ``bytes``.
 """
 
 from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterable
+import re
+import struct
 from functools import cache
 
 import numpy as np
 
-KEPT = 500_000
-#: A special token of ``word_bpe_49k.json``; it never comes out of a word that doesn't spell it.
-_MARK = "<|startoftext|>"
+KEPT = 400_000
+#: Letters whose lower case and composed form need no look at their neighbours, then marks that end a word.
+_SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
 
-class WordTokens:
-    """A tokenizers file whose pre-tokenizer drops white space."""
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: its own where that prints, else the next from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: chr(b) for b in prints} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Remembered:
+    """Ids of pieces, those met last kept in two generations of ``KEPT``; a piece that is met again moves to the younger one."""
+
+    def __init__(self) -> None:
+        self._young: dict = {}
+        self._old: dict = {}
+
+    def _new(self, piece) -> bytes:
+        raise NotImplementedError
+
+    def _learn(self, piece) -> bytes:
+        ids = self._old.get(piece)
+        if ids is None:
+            ids = self._new(piece)
+        if len(self._young) >= KEPT:
+            self._old, self._young = self._young, {}
+        self._young[piece] = ids
+        return ids
+
+    def _all(self, pieces: list) -> list[bytes]:
+        parts = list(map(self._young.get, pieces))
+        if None in parts:
+            parts = [self._young.get(w) or self._learn(w) if p is None else p for w, p in zip(pieces, parts, strict=True)]
+        return parts
+
+
+class WordTokens(_Remembered):
+    """A tokenizers file with byte-level merges whose pre-tokenizer drops white space and lower-cases.
+
+    Words of plain letters go to the merges directly, all others through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self._model = Tokenizer.from_file(path)
-        self._mark = self._model.token_to_id(_MARK)
-        self._known: dict[bytes, bytes] = {}
-
-    def _encode(self, text: str) -> np.ndarray:
-        return np.array(self._model.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def _learn(self, words: Iterable[bytes]) -> None:
-        plain = [w for w in words if b"<|" not in w]
-        for w in words:
-            if b"<|" in w:
-                self._known[w] = self._encode(w.decode()).tobytes()
-        for at in range(0, len(plain), 20_000):
-            some = plain[at : at + 20_000]
-            ids = self._encode(_MARK.join([w.decode() for w in some]) if self._mark is not None else " ".join(map(bytes.decode, some)))
-            cuts = np.flatnonzero(ids == self._mark)
-            if len(cuts) != len(some) - 1:
-                for w in some:
-                    self._known[w] = self._encode(w.decode()).tobytes()
-                continue
-            raw, begin = ids.tobytes(), 0
-            for w, cut in zip(some, [*(4 * cuts).tolist(), len(raw)], strict=True):
-                self._known[w] = raw[begin:cut]
-                begin = cut + 4
+        self._whole = Tokenizer.from_file(path)
+        self._merges = self._whole.model
+        self._letters = _byte_letters()
+        self._marks: dict[str, bytes] = {"": b""}
+
+    def _encode(self, text: str) -> bytes:
+        return np.array(self._whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _new(self, word: bytes) -> bytes:
+        text = word.decode()
+        simple = _SIMPLE.fullmatch(text)
+        if not simple:
+            return self._encode(text)
+        letters, marks = simple[1].lower(), simple[2]
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(self._letters)
+        if marks not in self._marks:
+            self._marks[marks] = self._encode(marks)
+        ids = [t.id for t in self._merges.tokenize(letters)]
+        return struct.pack(f"<{len(ids)}I", *ids) + self._marks[marks]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        new = set().union(*split).difference(self._known) if split else set()
-        if len(self._known) + len(new) > KEPT:
-            self._known.clear()
-            new = set().union(*split)
-        self._learn(new)
-        known = self._known.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        return [b"".join(self._all((text or "").encode().split())) for text in texts]
 
 
-class RankTokens:
+#: White space before a space: then a piece does not begin at the space.
+_GAPS = re.compile(r"\s\s")
+
+
+class RankTokens(_Remembered):
     """A tiktoken rank file: byte-level merges, a space belongs to the word after it."""
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
 
+        super().__init__()
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._model = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.size = max(ranks.values()) + 1
-        self._known: dict[str, bytes] = {}
 
-    def _plain(self, text: str) -> bytes:
-        return np.array(self._model.encode_ordinary(text), dtype="<u4").tobytes()
+    def _ids(self, piece: str) -> bytes:
+        ids = self._model.encode_ordinary(piece)
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _new(self, piece: str) -> bytes:
+        return self._ids(" " + piece)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out, known = [], self._known
+        out = []
         for text in texts:
-            text = text or ""
-            if "  " in text or not text.isprintable() and any(x in text for x in ("\n ", "\t ", "\r ", "\x0b ", "\x0c ", "\xa0 ")):
-                out.append(self._plain(text))
+            if not text or _GAPS.search(text):
+                out.append(self._ids(text or ""))
                 continue
             first, *rest = text.split(" ")
-            parts = [self._plain(first)]
-            for piece in rest:
-                ids = known.get(piece)
-                if ids is None:
-                    if len(known) >= KEPT:
-                        known.clear()
-                    ids = known[piece] = self._plain(" " + piece)
-                parts.append(ids)
-            out.append(b"".join(parts))
+            out.append(self._ids(first) + b"".join(self._all(rest)))
         return out
 
 
