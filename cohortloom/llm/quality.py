@@ -1,7 +1,7 @@
 """Ordinal cumulative-link regression on graded ratings of texts.
 
 With grades 0 .. K, P(grade >= k) = sigmoid(w x - threshold_k): one weight vector shared by all grades, thresholds in ascending
-order. ``x`` are hashed features of the whole text: which words occur (in lower case), and for the shapes of words (case, last
+order. ``x`` are hashed features of the whole text: which words and which beginnings of words occur (in lower case), and for the shapes of words (case, last
 bytes, repeated at once) the share of words that have them. The fit maximises the likelihood less a quadratic penalty, on a
 bounded sample of the rated texts: those ``sample_rows`` with the smallest hash of their id. Every text is scored in full.
 
@@ -25,10 +25,13 @@ from cohortloom.llm.common import slices, step
 from cohortloom.llm.wordhash import U, Words, mix
 
 SAMPLE_ROWS = 20_000
+PENALTY = 3e-4
 BITS = 18
-LEAST = 0.7
+LEAST = 0.5
 #: A shape's share of the words, from 0 to 1, counts as up to this many words that occur.
 SHAPE_SCALE = 8.0
+#: Bytes of a word's beginning that count as a feature of their own.
+PREFIX = 5
 
 
 def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,11 +48,11 @@ def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray
     again[1:] = (lower.hash[1:] == lower.hash[:-1]) & (lower.doc[1:] == lower.doc[:-1])
     shapes = [mix(case + U(11)), mix(tail + U(1 << 20)), mix(again + U(1 << 30)), mix(case + (tail << U(8)) + U(1 << 40))]
     row, feature, value = [], [], []
-    for number, hashes in enumerate([lower.hash, *shapes]):
+    for number, hashes in enumerate([lower.hash, mix(lower.prefixes(PREFIX) + U(1 << 50)), *shapes]):
         keys, counts = np.unique(lower.doc.astype(np.uint64) << U(bits) | hashes & low, return_counts=True)
         row.append((keys >> U(bits)).astype(np.int64))
         feature.append((keys & low).astype(np.int64))
-        value.append(np.ones(len(keys), np.float32) if not number else (SHAPE_SCALE * counts / lower.counts[row[-1]]).astype(np.float32))
+        value.append(np.ones(len(keys), np.float32) if number < 2 else (SHAPE_SCALE * counts / lower.counts[row[-1]]).astype(np.float32))
     row, feature, value = map(np.concatenate, (row, feature, value))
     order = np.argsort(row, kind="stable")
     return row[order], feature[order], value[order]
@@ -68,40 +71,86 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(score[:, None] - self.thresholds[None, :], -30, 30)))
 
 
+def _dot(a: np.ndarray, b: np.ndarray) -> float:
+    return float((a * b).sum())
+
+
+def _minimise(value, x: np.ndarray, rounds: int, memory: int = 10, enough: float = 1e-5) -> np.ndarray:
+    """Limited-memory quasi-Newton steps with halving; ``value`` gives a number and its gradient."""
+    at, slope = value(x)
+    steps: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(rounds):
+        way, factors = slope.copy(), []
+        for s, y in reversed(steps):
+            factors.append(_dot(s, way) / _dot(s, y))
+            way -= factors[-1] * y
+        if steps:
+            way *= _dot(*steps[-1]) / _dot(steps[-1][1], steps[-1][1])
+        for (s, y), f in zip(steps, reversed(factors), strict=True):
+            way += (f - _dot(y, way) / _dot(s, y)) * s
+        length, fall = 1.0 if steps else min(1.0, 1 / np.abs(slope).sum()), _dot(slope, way)
+        while True:
+            there, new_slope = value(x - length * way)
+            if there <= at - 1e-4 * length * fall or length < 1e-10:
+                break
+            length /= 2
+        s, y = -length * way, new_slope - slope
+        if length < 1e-10:
+            return x
+        if _dot(s, y) > 1e-12 * _dot(y, y):
+            steps = [*steps, (s, y)][-memory:]
+        done = at - there < enough * max(abs(at), 1e-3)
+        x, at, slope = x + s, there, new_slope
+        if done:
+            return x
+    return x
+
+
 def fit_rows(grade: np.ndarray, row: np.ndarray, feature: np.ndarray, value: np.ndarray, grades: int, bits: int = BITS,
-             penalty: float = 3e-4, rounds: int = 150, rate: float = 0.1, seen: int = 3) -> OrdinalModel:
-    """Full-batch Adam; a feature needs ``seen`` texts of the sample to get a weight."""
-    size = 1 << bits
-    weights, n = np.zeros(size), len(grade)
-    share = np.array([(grade >= k).mean() if n else 1.0 for k in range(1, grades)])
-    start = np.clip(share, 1e-3, 1 - 1e-3)
-    thresholds = -np.log(start / (1 - start)) if n else np.full(grades - 1, -30.0)
+             penalty: float = PENALTY, rounds: int = 200, seen: int = 3) -> OrdinalModel:
+    """Maximum likelihood with a quadratic penalty; rows ascend; a feature needs ``seen`` texts of the sample to get a weight."""
+    size, n = 1 << bits, len(grade)
     if not n:
-        return OrdinalModel(weights, thresholds, bits)
-    use = np.bincount(feature, minlength=size)[feature] >= seen
-    row, feature, value = row[use], feature[use], value[use].astype(np.float64)
+        return OrdinalModel(np.zeros(size), np.full(grades - 1, -30.0), bits)
+    used = np.bincount(feature, minlength=size) >= seen
+    known, number = np.flatnonzero(used), (np.cumsum(used) - 1).astype(np.int32)
+    use = used[feature]
+    column, value, row = number[feature[use]], value[use], row[use]
+    counts = np.bincount(row, minlength=n)
+    full = np.flatnonzero(counts)
+    begin = (np.cumsum(counts) - counts)[full]
+    del row, use
+    share = np.clip([(grade >= k).mean() for k in range(1, grades)], 1e-3, 1 - 1e-3)
+    start = -np.log(share / (1 - share))
     # Thresholds are the first one and the logs of the gaps, so they stay in order.
-    first, gaps = thresholds[:1].copy(), np.log(np.maximum(np.diff(thresholds), 1e-2))
-    state = [np.zeros_like(x) for x in (weights, first, gaps) for _ in range(2)]
-    for turn in range(1, rounds + 1):
-        edges = np.concatenate([first, first + np.cumsum(np.exp(gaps))])
-        score = np.bincount(row, weights=weights[feature] * value, minlength=n)
-        cumulative = 1 / (1 + np.exp(-np.clip(score[:, None] - edges[None, :], -30, 30)))
-        upper = np.where(grade > 0, np.take_along_axis(cumulative, np.maximum(grade - 1, 0)[:, None], 1)[:, 0], 1.0)
-        lower = np.where(grade < grades - 1, np.take_along_axis(cumulative, np.minimum(grade, grades - 2)[:, None], 1)[:, 0], 0.0)
-        chance = np.maximum(upper - lower, 1e-9)
-        of_score = 1 - upper - lower
+    free = np.concatenate([np.zeros(len(known)), start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
+
+    def thresholds(x: np.ndarray) -> np.ndarray:
+        first, gaps = x[len(known) : len(known) + 1], x[len(known) + 1 :]
+        return np.concatenate([first, first + np.cumsum(np.exp(np.minimum(gaps, 10)))])
+
+    def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
+        weights = x[: len(known)]
+        score = np.zeros(n)
+        if len(full):
+            score[full] = np.add.reduceat(weights.astype(np.float32)[column] * value, begin, dtype=np.float64)
+        tails = 1 / (1 + np.exp(-np.clip(score[:, None] - thresholds(x)[None, :], -30, 30)))
+        upper = np.where(grade > 0, np.take_along_axis(tails, np.maximum(grade - 1, 0)[:, None], 1)[:, 0], 1.0)
+        lower = np.where(grade < grades - 1, np.take_along_axis(tails, np.minimum(grade, grades - 2)[:, None], 1)[:, 0], 0.0)
+        chance = np.maximum(upper - lower, 1e-12)
         of_edges = np.zeros(grades - 1)
-        np.add.at(of_edges, np.maximum(grade - 1, 0), np.where(grade > 0, -upper * (1 - upper) / chance, 0))
-        np.add.at(of_edges, np.minimum(grade, grades - 2), np.where(grade < grades - 1, lower * (1 - lower) / chance, 0))
-        of_weights = np.bincount(feature, weights=of_score[row] * value, minlength=size) / n - penalty * weights
+        np.add.at(of_edges, np.maximum(grade - 1, 0), np.where(grade > 0, upper * (1 - upper) / chance, 0))
+        np.add.at(of_edges, np.minimum(grade, grades - 2), np.where(grade < grades - 1, -lower * (1 - lower) / chance, 0))
         later = of_edges[::-1].cumsum()[::-1] / n
-        for i, (x, g) in enumerate(((weights, of_weights), (first, later[:1]), (gaps, later[1:] * np.exp(gaps)))):
-            m, v = state[2 * i], state[2 * i + 1]
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            x += rate * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
-    return OrdinalModel(weights, np.concatenate([first, first + np.cumsum(np.exp(gaps))]), bits)
+        pull = np.repeat((1 - upper - lower).astype(np.float32), counts)
+        of_weights = -np.bincount(column, weights=pull * value, minlength=len(known)) / n + penalty * weights
+        gaps = np.exp(np.minimum(x[len(known) + 1 :], 10))
+        return float(-np.log(chance).mean() + penalty / 2 * _dot(weights, weights)), np.concatenate([of_weights, later[:1], later[1:] * gaps])
+
+    x = _minimise(loss, free, rounds)
+    weights = np.zeros(size)
+    weights[known] = x[: len(known)]
+    return OrdinalModel(weights, thresholds(x), bits)
 
 
 def _feature_rows(bits: int):
@@ -120,6 +169,22 @@ def _feature_rows(bits: int):
     return work
 
 
+def _fit_task(grades: int, bits: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grade, counts, feature, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+        for batch in batches:
+            grade.append(batch["grade"].to_numpy().astype(np.int64))
+            counts.append(pa.compute.list_value_length(batch["feature"]).to_numpy().astype(np.int64))
+            feature.append(pa.compute.list_flatten(batch["feature"]).to_numpy().copy())
+            value.append(pa.compute.list_flatten(batch["value"]).to_numpy().copy())
+        counts = np.concatenate(counts)
+        row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        model = fit_rows(np.concatenate(grade), row, np.concatenate(feature), np.concatenate(value), grades, bits)
+        yield pa.RecordBatch.from_pydict({"weights": [model.weights.astype("<f8").tobytes()], "thresholds": [model.thresholds.tolist()]})
+
+    return work
+
+
 def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS,
         bits: int = BITS) -> OrdinalModel:
     """``ratings``: ``doc_id, grade`` with grades 0 .. grades - 1."""
@@ -129,13 +194,10 @@ def fit(docs: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id"
     # An id may stand on many rows; each rating is used once, with the smallest text.
     joined = texts.join(F.broadcast(sample), "doc_id")
     one = joined.groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
-    rows = one.mapInArrow(_feature_rows(bits), "grade int, feature array<int>, value array<float>").toArrow()
-    grade = rows["grade"].to_numpy().astype(np.int64)
-    counts = pa.compute.list_value_length(rows["feature"]).to_numpy()
-    row = np.repeat(np.arange(len(grade)), counts)
-    feature = pa.compute.list_flatten(rows["feature"]).to_numpy().astype(np.int64)
-    value = pa.compute.list_flatten(rows["value"]).to_numpy()
-    return fit_rows(grade, row, feature, value, grades, bits)
+    made = step(one.mapInArrow(_feature_rows(bits), "grade int, feature array<int>, value array<float>"), "features")
+    # The sample is bounded, so one task fits it; the driver sees the weights alone.
+    fitted = made.coalesce(1).mapInArrow(_fit_task(grades, bits), "weights binary, thresholds array<double>").first()
+    return OrdinalModel(np.frombuffer(fitted["weights"], "<f8"), np.array(fitted["thresholds"]), bits)
 
 
 def _score_rows(model: OrdinalModel, least: float, columns: list[str]):

@@ -73,8 +73,15 @@ class Words:
             up, down = powers(_BYTE_FACTOR, len(data) + 1)
             sums = np.zeros(len(data) + 1, np.uint64)
             np.cumsum(_BYTE[self.data] * up[: len(data)], dtype=np.uint64, out=sums[1:])
-            length = (self.end - self.start).astype(np.uint64)
-            self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + length)
+            self._sums, self._down = sums, down
+            self.hash = self._between(self.start, self.end)
+
+    def _between(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mix((self._sums[end] - self._sums[start]) * self._down[start] + (end - start).astype(np.uint64))
+
+    def prefixes(self, size: int) -> np.ndarray:
+        """Hash of each word's first bytes; that of the word if it has no more."""
+        return self._between(self.start, np.minimum(self.end, self.start + size))
 
     def __len__(self) -> int:
         return len(self.start)
