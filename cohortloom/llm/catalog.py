@@ -125,7 +125,22 @@ def op9_quality_classifier(spark, sf_dir):
     return quality.score(docs, quality.fit(docs, quality.grades_of(_table(spark, sf_dir, "labels")), 3))
 
 
-@_query("op4_ngram_jaccard")
+@_query(
+    "op4_ngram_jaccard",
+    f"""
+    WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, {_WORDS.format(text='text')} AS w FROM documents),
+    c AS (SELECT t, min(doc_id) AS class_id, count(*) AS class_size, any_value(w) AS w FROM d GROUP BY t),
+    s AS (SELECT DISTINCT class_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                                WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM c),
+    n AS (SELECT class_id, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT a.class_id AS a, b.class_id AS b, count(*) AS k FROM s a JOIN s b USING (g) WHERE a.class_id <> b.class_id GROUP BY 1, 2),
+    l AS (SELECT a, b FROM p JOIN n x ON x.class_id = a JOIN n y ON y.class_id = b WHERE 5 * k >= 4 * (x.n + y.n - k)),
+    r AS (SELECT class_id AS a, class_id AS b FROM c UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+    m AS (SELECT a, min(b) AS group_id FROM r GROUP BY 1),
+    k AS (SELECT a, count(*) AS n_links FROM l GROUP BY 1)
+    SELECT doc_id, class_id, class_size, coalesce(n_links, 0) AS n_links, group_id
+    FROM d JOIN c USING (t) JOIN m ON m.a = class_id LEFT JOIN k ON k.a = class_id""",
+)
 def op4_ngram_jaccard(spark, sf_dir):
     return jaccard.near_duplicates(_table(spark, sf_dir, "documents"), is_stored=True).drop("row", "group_row")
 
