@@ -15,7 +15,7 @@ from cohortloom.runtime import materialize
 #: Words as all operators see them; Python's, Spark's and DuckDB's expressions read it alike.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes a task works on at a time.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
 
 
 def stored(df: DataFrame, is_stored: bool) -> DataFrame:

@@ -1,17 +1,18 @@
 """Scoring texts with an n-gram model as a weighted backoff automaton.
 
-The model: counts of all n-grams up to ``order`` of the training texts, none left out. The probability of a token after a context
-mixes the context's counts with the next shorter context's probability, which counts as ``strength`` further observations:
+The model: counts of all n-grams up to ``order`` of the training texts, none left out, smoothed by the number of different
+tokens that follow a context (Witten and Bell's rule): those count as further observations of the next shorter context,
 
-    p(w | c) = (n(c w) + strength * p(w | shorter c)) / (n(c) + strength),    p(w) = (n(w) + 0.5) / (N + 0.5 (V + 1))
+    p(w | c) = (n(c w) + t(c) * p(w | shorter c)) / (n(c) + t(c)),    p(w) = (n(w) + 0.5) / (N + 0.5 (V + 1))
 
 so each distribution sums to one. As an automaton, every known context is a state; a known n-gram is an arc with the weight above;
-any other token takes the failure arc, of weight strength / (n(c) + strength), to the state of the shorter context and is tried
+any other token takes the failure arc, of weight t(c) / (n(c) + t(c)), to the state of the shorter context and is tried
 again there. A text is read once from left to right; the state is the longest known context.
 
 The model grows with the corpus and is never in one place. Texts are put together in chunks. Each chunk sends the hashes of its
 n-grams with their counts, sorted and cut by ranges of the hash, to the ranges' tasks, which add them up and send back the totals
-in the order received. With them, a chunk has the part of the automaton its texts can reach, and no more.
+in the order received, marking one chunk as the n-gram's owner. The owners count different followers by context, and these numbers
+are added up and sent back the same way. With both, a chunk has the part of the automaton its texts can reach, and no more.
 
 Null texts are empty: one token, the end. A null id counts as the empty string. Repeated rows are texts of their own; an empty table
 gives an empty result; other columns are not read.
@@ -32,8 +33,8 @@ from cohortloom.llm.common import slices, step
 from cohortloom.llm.wordhash import U, Words, mix
 
 #: Text bytes of a chunk; n-grams of an order that a range of hashes holds, about.
-CHUNK_BYTES, RANGE_GRAMS = 8_000_000, 1_000_000
-ORDER, STRENGTH = 3, (3000.0, 20.0)
+CHUNK_BYTES, RANGE_GRAMS = 3_000_000, 1_000_000
+ORDER = 2
 _END, _START = (mix(np.array([x], np.uint64))[0] for x in (0x456E64, 0x537461))
 _JOIN = U(0xA0761D6478BD642F)
 SCORES = "doc_id %s, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -96,7 +97,7 @@ class _Stream:
         self.starts = np.zeros(len(tokens), bool)
         self.starts[self.first] = True
         train = np.repeat(~self.held_out, self.n_tokens)
-        self.keys, self.counts, self.at = [], [], []
+        self.keys, self.counts, self.at, self.seen_at = [], [], [], []
         gram = tokens
         for n in range(1, order + 1):
             if n > 1:
@@ -106,8 +107,9 @@ class _Stream:
                 before[self.first] = _START if n == 2 else U(n)
                 gram = mix(before * _JOIN + tokens)
             use = train & ~self.starts if n > 2 else train
-            keys, at = np.unique(gram, return_inverse=True)
+            keys, seen_at, at = np.unique(gram, return_index=True, return_inverse=True)
             self.keys.append(keys)
+            self.seen_at.append(seen_at)
             self.at.append(at)
             self.counts.append(np.bincount(at[use], minlength=len(keys)).astype(np.uint32))
 
@@ -128,68 +130,115 @@ def _ranges(keys: np.ndarray, bits: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, inner), [len(keys)]])
 
 
+class _Sent:
+    """Rows for the ranges' tasks: gram, part, chunk, keys, counts."""
+
+    def __init__(self, chunk: int, bits: int):
+        self._chunk, self._bits = chunk, bits
+        self._rows: dict[str, list] = {"gram": [], "part": [], "keys": [], "counts": []}
+
+    def add(self, gram: int, keys: np.ndarray, counts: np.ndarray) -> None:
+        edges = _ranges(keys, self._bits)
+        for part in np.flatnonzero(np.diff(edges)).tolist():
+            some = slice(edges[part], edges[part + 1])
+            row = (gram, part, _planes(np.diff(keys[some], prepend=U(0))), _planes(counts[some]))
+            for name, value in zip(self._rows, row, strict=True):
+                self._rows[name].append(value)
+
+    def columns(self) -> dict[str, pa.Array]:
+        kinds = {"gram": pa.int32(), "part": pa.int32(), "keys": pa.binary(), "counts": pa.binary()}
+        out = {k: pa.array(v, kinds[k]) for k, v in self._rows.items()}
+        return out | {"chunk": pa.array([self._chunk] * len(out["gram"]), pa.int64())}
+
+
+_SENT = "gram int, part int, keys binary, counts binary, chunk long"
+
+
 def _gram_rows(order: int, bits: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch["chunk"].to_pylist(), batch["texts"], strict=True):
-                stream = _Stream(blob.as_buffer(), order)
-                out = {"gram": [], "part": [], "keys": [], "counts": []}
+                stream, out = _Stream(blob.as_buffer(), order), _Sent(chunk, bits)
                 for n, (keys, counts) in enumerate(zip(stream.keys, stream.counts, strict=True)):
-                    edges = _ranges(keys, bits)
-                    for part in np.flatnonzero(np.diff(edges)).tolist():
-                        some = slice(edges[part], edges[part + 1])
-                        out["gram"].append(n)
-                        out["part"].append(part)
-                        out["keys"].append(_planes(np.diff(keys[some], prepend=U(0))))
-                        out["counts"].append(_planes(counts[some]))
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "gram": pa.array(out["gram"], pa.int32()), "part": pa.array(out["part"], pa.int32()),
-                        "chunk": pa.array([chunk] * len(out["gram"]), pa.int64()),
-                        "keys": pa.array(out["keys"], pa.binary()), "counts": pa.array(out["counts"], pa.binary()),
-                    }
-                )
+                    out.add(n, keys, counts)
+                yield pa.RecordBatch.from_pydict(out.columns())
 
     return work
 
 
 def _totals(table: pa.Table) -> pa.Table:
-    """For one range of hashes: each chunk's n-grams with their totals over all chunks."""
+    """For one range of hashes: each chunk's n-grams with twice their totals over all chunks, and 1 more for the owner."""
+    table = table.sort_by("chunk")
     deltas = [_values(x.as_py(), np.uint64) for x in table["keys"]]
     keys = np.concatenate([np.cumsum(d, dtype=np.uint64) for d in deltas])
     counts = np.concatenate([_values(x.as_py(), np.uint32) for x in table["counts"]]).astype(np.float64)
-    known, at = np.unique(keys, return_inverse=True)
+    known, first, at = np.unique(keys, return_index=True, return_inverse=True)
     totals = np.bincount(at, weights=counts, minlength=len(known)).astype(np.uint64)
+    both = totals[at] * U(2)
+    both[first] += (totals > 0).astype(np.uint64)
     edges = np.cumsum([0, *map(len, deltas)])
     rows = table.num_rows
     return pa.table(
         {
             "gram": table["gram"], "part": table["part"], "chunk": table["chunk"],
-            "totals": pa.array([_planes(totals[at[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
+            "totals": pa.array([_planes(both[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
             "distinct": pa.array([int(np.count_nonzero(totals))] + [0] * (rows - 1), pa.int64()),
             "tokens": pa.array([int(totals.sum())] + [0] * (rows - 1), pa.int64()),
         }
     )
 
 
-def _score_chunk(order: int, strength: tuple[float, ...], n: int, v: int, n_docs: int):
+_TOTALS = "gram int, part int, chunk long, totals binary, distinct long, tokens long"
+
+
+def _received(totals: pa.Table) -> dict[int, np.ndarray]:
+    """What came back, by gram, in the order of the chunk's keys."""
+    parts: dict[int, list[tuple[int, bytes]]] = {}
+    for gram, part, data in zip(totals["gram"].to_pylist(), totals["part"].to_pylist(), totals["totals"].to_pylist(), strict=True):
+        parts.setdefault(gram, []).append((part, data))
+    return {gram: np.concatenate([_values(d, np.uint64) for _, d in sorted(rows)]) for gram, rows in parts.items()}
+
+
+#: Where ``_follower_rows`` sends what follows the start mark.
+_AT_START = -1
+
+
+def _follower_rows(order: int, bits: int):
+    def work(chunks: pa.Table, totals: pa.Table) -> pa.Table:
+        stream, out = _Stream(chunks["texts"][0].as_buffer(), order), _Sent(chunks["chunk"][0].as_py(), bits)
+        got = _received(totals)
+        for g in range(1, order):
+            at = stream.seen_at[g][(got[g] & U(1)).astype(bool)]
+            inside = at[~stream.starts[at]]
+            followers = np.bincount(stream.at[g - 1][inside - 1], minlength=len(stream.keys[g - 1])).astype(np.uint32)
+            out.add(g - 1, stream.keys[g - 1], followers)
+            if g == 1:
+                out.add(_AT_START, np.zeros(1, np.uint64), np.array([len(at) - len(inside)], np.uint32))
+        return pa.table(out.columns()).select([c.split()[0] for c in _SENT.split(", ")])
+
+    return work
+
+
+def _score_chunk(order: int, n: int, v: int, n_docs: int):
     def work(chunks: pa.Table, totals: pa.Table) -> pa.Table:
         stream = _Stream(chunks["texts"][0].as_buffer(), order)
-        received: dict[int, list[tuple[int, bytes]]] = {}
-        for gram, part, data in zip(totals["gram"].to_pylist(), totals["part"].to_pylist(), totals["totals"].to_pylist(), strict=True):
-            received.setdefault(gram, []).append((part, data))
-        seen = [np.concatenate([_values(d, np.uint64) for _, d in sorted(received[g])])[stream.at[g]].astype(np.float64) for g in range(order)]
+        of_counts = pa.compute.equal(totals["kind"], 0)
+        counts, follow = _received(totals.filter(of_counts)), _received(totals.filter(pa.compute.invert(of_counts)))
+        seen = [(counts[g] >> U(1))[stream.at[g]].astype(np.float64) for g in range(order)]
         p = (seen[0] + 0.5) / (n + 0.5 * (v + 1))
         base = np.log10(p)
         score = base.copy()
         for g in range(1, order):
-            context = np.empty_like(p)
+            context, more = np.zeros_like(p), np.ones_like(p)
             context[1:] = seen[g - 1][:-1]
+            more[1:] = (follow[g - 1] >> U(1))[stream.at[g - 1]][:-1]
             context[stream.first] = n_docs if g == 1 else 0
+            more[stream.first] = follow[_AT_START][0] >> U(1) if g == 1 else 1
             state = context > 0
+            more[~state] = 1
             arc = state & (seen[g] > 0) if g == 1 else state & (seen[g] > 0) & ~stream.starts
-            fail = np.log10(strength[g - 1] / (context + strength[g - 1]))
-            weight = np.where(arc, seen[g] + strength[g - 1] * p, strength[g - 1] * p) / (context + strength[g - 1])
+            fail = np.log10(more / (context + more))
+            weight = np.where(arc, seen[g] + more * p, more * p) / (context + more)
             score = np.where(arc, np.log10(weight), np.where(state, fail + score, score))
             p = np.where(state, weight, p)
         docs = len(stream.n_tokens)
@@ -205,25 +254,23 @@ def _score_chunk(order: int, strength: tuple[float, ...], n: int, v: int, n_docs
     return work
 
 
-def score(docs: DataFrame, order: int = ORDER, strength: tuple[float, ...] = STRENGTH, id_col: str = "doc_id", text_col: str = "text",
-          chunk_bytes: int = CHUNK_BYTES, range_grams: int = RANGE_GRAMS) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES,
+          range_grams: int = RANGE_GRAMS) -> DataFrame:
     """Log10 probability of every text, learnt from those not held out."""
-    if len(strength) < order - 1:
-        raise ValueError("a strength is needed for each order above 1")
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     chunks = step(texts.mapInArrow(_chunk_rows(chunk_bytes), "chunk long, texts binary, docs long, bytes long"), "chunks")
     sizes = chunks.agg(F.sum("docs"), F.sum("bytes")).first()
     bits = max(0, ((sizes[1] or 0) // 6 // range_grams).bit_length())
-    grams = chunks.select("chunk", "texts").mapInArrow(_gram_rows(order, bits), "gram int, part int, chunk long, keys binary, counts binary")
-    totals = step(
-        grams.groupBy("gram", "part").applyInArrow(_totals, "gram int, part int, chunk long, totals binary, distinct long, tokens long"),
-        "totals",
-    )
-    n, v = totals.filter("gram = 0").agg(F.sum("tokens"), F.sum("distinct")).first()
-    work = _score_chunk(order, strength, n or 0, v or 0, sizes[0] or 0)
-    return (
-        chunks.select("chunk", "texts").groupBy("chunk")
-        .cogroup(totals.select("gram", "part", "chunk", "totals").groupBy("chunk"))
-        .applyInArrow(work, SCORES % kind)
-    )
+    by_chunk = chunks.select("chunk", "texts").groupBy("chunk")
+    columns = ["gram", "part", "chunk", "totals"]
+    grams = chunks.select("chunk", "texts").mapInArrow(_gram_rows(order, bits), _SENT)
+    counts = step(grams.groupBy("gram", "part").applyInArrow(_totals, _TOTALS), "counts")
+    n, v = counts.filter("gram = 0").agg(F.sum("tokens"), F.sum("distinct")).first()
+    back = counts.select(*columns, F.lit(0).alias("kind"))
+    if order > 1:
+        sent = by_chunk.cogroup(counts.select(*columns).groupBy("chunk")).applyInArrow(_follower_rows(order, bits), _SENT)
+        followers = step(sent.groupBy("gram", "part").applyInArrow(_totals, _TOTALS), "followers")
+        back = back.unionByName(followers.select(*columns, F.lit(1).alias("kind")))
+    work = _score_chunk(order, n or 0, v or 0, sizes[0] or 0)
+    return by_chunk.cogroup(back.groupBy("chunk")).applyInArrow(work, SCORES % kind)
