@@ -46,7 +46,7 @@ def held_out(doc_id, folds: int = 5, fold: int = 1) -> bool:
 
 def _blob(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
         out.write_table(table)
     return sink.getvalue().to_pybytes()
 
