@@ -34,7 +34,7 @@ from cohortloom.llm.wordhash import U, Words, mix
 
 #: Text bytes of a chunk; n-grams of an order that a range of hashes holds, about.
 CHUNK_BYTES, RANGE_GRAMS = 3_000_000, 1_000_000
-ORDER = 2
+ORDER = 3
 _END, _START = (mix(np.array([x], np.uint64))[0] for x in (0x456E64, 0x537461))
 _JOIN = U(0xA0761D6478BD642F)
 SCORES = "doc_id %s, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

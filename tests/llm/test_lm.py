@@ -84,5 +84,10 @@ def test_smallest_tables(spark, small):
     assert sum(g.score for g in held) > sum(g.base_score for g in held)
 
 
+def test_registered_query_counts_triples(spark, small):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
+    check(rows, catalog.QUERIES["op8_backoff_lm"](spark, small).collect(), 3)
+
+
 def test_empty_table(nothing):
     assert lm.score(nothing).count() == 0
