@@ -1,8 +1,9 @@
 """Main text of web pages by the containers that the pages of a host agree on.
 
 Each page is parsed into containers (block elements with their path of generalised tags and classes: numbers in class names are one
-sign). Every container is scored by the text of the blocks directly inside it, half as much for its parent, links counting nothing,
-and the page votes for the path of the best one. Votes are added up by host and path; the path with the highest sum wins the host.
+sign). Every container is scored by the text of the blocks directly inside it, half as much for its parent, links counting nothing.
+From the best one the page climbs to the article or main part around it, or without one to the parents as long as they add text that is
+mostly not linked (to the body only if it has such text directly), and votes for that path. Votes are added up by host and path; the path with the highest sum wins the host.
 Then each page is read again and its text taken from the containers on the winning path. A page that has none there, or less than
 ``LEAST_SHARE`` of the text of its own best container, gives that one.
 
@@ -61,11 +62,11 @@ _NUMBER = re.compile(r"\d+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "path", "out", "article", "score", "link", "size")
+    __slots__ = ("tag", "parent", "path", "out", "article", "score", "link", "size", "own", "direct")
 
     def __init__(self, tag: str, parent: _Node | None, path: str, out: bool, article: bool, link: bool):
         self.tag, self.parent, self.path, self.out, self.article, self.link = tag, parent, path, out, article, link
-        self.score, self.size = 0.0, 0
+        self.score, self.size, self.own, self.direct = 0.0, 0, 0, 0
 
 
 def _open(tag: str, attributes: str, parent: _Node) -> _Node:
@@ -92,8 +93,8 @@ def _open(tag: str, attributes: str, parent: _Node) -> _Node:
     return _Node(tag, parent, path, out, article, parent.link or tag == "a")
 
 
-def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
-    """Containers, and the blocks of text that are not left out with the element each lies in."""
+def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
+    """Containers, and the blocks of text that are not left out with the element each lies in and their unlinked length."""
     root = _Node("", None, "", False, False, False)
     stack, nodes, blocks = [root], [], []
     pieces: list[str] = []
@@ -107,12 +108,13 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
                 owner = stack[-1]
                 while owner.tag not in _BLOCK and owner.parent is not None:
                     owner = owner.parent
-                blocks.append((owner, text))
                 own = max(0, len(text) - linked)
+                blocks.append((owner, text, own))
                 near = owner
                 while near.parent is not None and near.tag not in _CONTAINER:
                     near = near.parent
                 near.score += own
+                near.direct += own
                 far = near.parent
                 while far is not None and far.parent is not None and far.tag not in _CONTAINER:
                     far = far.parent
@@ -176,9 +178,10 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str]]]:
         if tag in _CONTAINER and not node.out:
             nodes.append(node)
     flush()
-    for owner, text in blocks:
+    for owner, text, own in blocks:
         while owner is not None:
             owner.size += len(text)
+            owner.own += own
             owner = owner.parent
     return nodes, blocks
 
@@ -188,11 +191,37 @@ def best(nodes: list[_Node]) -> _Node | None:
     return max(nodes, key=lambda n: n.score, default=None) if any(n.score for n in nodes) else None
 
 
+def whole(top: _Node) -> _Node:
+    """The container that holds all of the article that ``top`` is the longest part of."""
+    around, node = [], top
+    while node is not None:
+        around.append(node)
+        node = node.parent
+    articles = [n for n in around if n.tag == "article"]
+    mains = [n for n in around if n.tag == "main"]
+    if articles:
+        # A heading or lead may lie in the main part, above the article.
+        return mains[-1] if mains and mains[-1].direct else articles[-1]
+    if mains:
+        return mains[-1]
+    for parent in around[1:]:
+        if parent.tag not in _CONTAINER or parent.tag == "html":
+            continue
+        if parent.tag == "body" and not parent.direct:
+            break
+        more = parent.size - top.size
+        if more and 2 * (parent.own - top.own) <= more:
+            break
+        if more:
+            top = parent
+    return top
+
+
 def vote(page: str) -> tuple[str, float] | None:
     """Path and weight of the best container: the share of the scores it has."""
     nodes, _ = parse(page)
     top = best(nodes)
-    return None if top is None else (top.path, top.score / sum(n.score for n in nodes))
+    return None if top is None else (whole(top).path, top.score / sum(n.score for n in nodes))
 
 
 def extract(page: str, path: str | None) -> str:
@@ -200,11 +229,12 @@ def extract(page: str, path: str | None) -> str:
     top = best(nodes)
     chosen = {id(n) for n in nodes if n.path == path}
     if top is not None:
+        top = whole(top)
         there = sum(n.size for n in nodes if id(n) in chosen and not _inside(n.parent, chosen))
         if there < LEAST_SHARE * top.size:
             chosen = {id(top)}
-        return "\n\n".join(text for owner, text in blocks if _inside(owner, chosen))
-    return "\n\n".join(text for _, text in blocks)
+        return "\n\n".join(text for owner, text, _ in blocks if _inside(owner, chosen))
+    return "\n\n".join(text for _, text, _ in blocks)
 
 
 def _inside(node: _Node | None, chosen: set[int]) -> bool:

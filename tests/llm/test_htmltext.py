@@ -29,6 +29,20 @@ def test_broken_markup():
         assert htmltext.extract(page, None) == want, page
 
 
+def test_body_below_the_heading():
+    long = "long text of the page " * 20
+    for page, path, want in [
+        (f"<body><article><h1>T</h1><p>lead</p><div class=body>{long}</div></article><p>teaser", ">body>article", ["T", "lead", long.strip()]),
+        (f"<article><section class=intro>in</section><section class=body>{long}</section></article>", ">article", ["in", long.strip()]),
+        (f"<main><h1>T</h1><article><div>{long}</div></article></main>", ">main", ["T", long.strip()]),
+        (f"<body><div class=post><h1>T</h1><div><div class=text>{long}</div></div></div></body>", ">body>div.post", ["T", long.strip()]),
+        (f"<body><h1>T</h1><p>lead</p><div class=text>{long}</div></body>", ">body", ["T", "lead", long.strip()]),
+        (f"<body><div class=a><div class=links><a href=x>see this</a></div><div class=text>{long}</div></div></body>", ">body>div.a>div.text", [long.strip()]),
+    ]:
+        assert htmltext.vote(page)[0] == path, page
+        assert htmltext.extract(page, path) == htmltext.extract(page, None) == "\n\n".join(want), page
+
+
 def test_hosts_vote(spark):
     wide = "<html><body><div class=story><p>%s</p></div><div class=teaser><p>%s</p></div></body></html>"
     long, short = "main text of the page " * 20, "see what else there is here " * 16
