@@ -8,7 +8,10 @@ Then each page is read again and its text taken from the containers on the winni
 ``LEAST_SHARE`` of the text of its own best container, gives that one.
 
 Left out inside and outside of containers: menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles, hidden
-parts and reader comments, told by tag, role, or a word of class or id. Character references are decoded, white space in a block
+parts and reader comments, told by tag, role, or a class or id that says nothing else. An element of these kinds is kept all the same
+if it holds most of the page's unlinked text, or is a form around an article, or holds the only article and that is longer than all
+that is left (hidden parts, reader comments and cookie notices are not); labels, buttons, notices and the like inside an article are
+kept if most of their text is not linked. A page that would have no text is read without regard to classes and ids. Character references are decoded, white space in a block
 becomes one space, blocks are joined by an empty line; nothing else is dropped.
 
 Null or empty pages give an empty text; a null or odd URL belongs to the host ''. Repeated rows vote and are read each by itself; an
@@ -47,6 +50,10 @@ _ENDS = {
 }
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _LEFT_OUT = frozenset("nav footer aside form button select dialog menu head search label input".split())
+_LEFT_OUT_ALWAYS = frozenset("head select".split())
+#: Kept inside an article, like the classes below, if most of the text is not linked.
+_ARTICLE_TAGS = frozenset("label button dialog".split())
+_ARTICLE_WORDS = frozenset("notice related".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form".split())
 _WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense adbox sponsor sponsored promo promotion cookie cookies consent gdpr notice "
@@ -56,47 +63,113 @@ _WORDS = frozenset(
 )
 #: Left out unless they lie in an article.
 _PAGE_WORDS = frozenset("header banner topbar".split())
+#: Left out however much they hold: they can be longer than the article.
+_NEVER_WORDS = frozenset("comment comments commentlist disqus respond cookie cookies consent gdpr".split())
+#: Parts of a name that say only what kind of box it is; with others, as in no-sidebar or ad-free, a name says something else.
+_BOX_WORDS = frozenset(
+    "area bar bottom box block body btn button buttons column container content desktop footer form group header icon icons inline inner item "
+    "items left link links list main mobile outer page panel post posts primary reply right row secondary section site slot text thread title "
+    "top unit wrap wrapper".split()
+)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _NUMBER = re.compile(r"\d+")
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "path", "out", "article", "score", "link", "size", "own", "direct")
+    __slots__ = ("tag", "parent", "path", "out", "article", "score", "link", "size", "own", "direct", "cause", "words", "text", "plain", "holds")
 
     def __init__(self, tag: str, parent: _Node | None, path: str, out: bool, article: bool, link: bool):
         self.tag, self.parent, self.path, self.out, self.article, self.link = tag, parent, path, out, article, link
         self.score, self.size, self.own, self.direct = 0.0, 0, 0, 0
+        #: Why it is left out by itself, the words of its classes that say so, its characters, those not linked, an article inside.
+        self.cause, self.words, self.text, self.plain, self.holds = "", frozenset(), 0, 0, False
+
+
+def _left_out_words(value: str, article: bool) -> set[str]:
+    """The words for which names in a class or id are left out."""
+    listed, found = _WORDS if article else _WORDS | _PAGE_WORDS, set()
+    for name in value.split():
+        parts = {x for x in _SPLIT.split(_CAMEL.sub(" ", name).lower()) if x and not x.isdigit()}
+        if not parts.isdisjoint(listed) and parts <= _WORDS | _PAGE_WORDS | _BOX_WORDS:
+            found |= parts & listed
+    return found
 
 
-def _open(tag: str, attributes: str, parent: _Node) -> _Node:
-    classes, out, words = "", parent.out or tag in _LEFT_OUT, set()
+def _open(tag: str, attributes: str, parent: _Node, by_words: bool, kept: bool) -> _Node:
+    classes, cause, words = "", "", set()
     article = parent.article or tag in ("article", "main")
-    if attributes and not out:
+    if tag in _LEFT_OUT:
+        cause = "always" if tag in _LEFT_OUT_ALWAYS else "tag"
+    if attributes:
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), html.unescape(value.strip("\"'"))
             if name == "class":
                 classes = ".".join(sorted(_NUMBER.sub("#", c) for c in value.lower().split()))
             if name in ("class", "id"):
-                words.update(_SPLIT.split(_CAMEL.sub(" ", value).lower()))
-            elif name == "role" and value.lower() in _ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-                out = True
+                if by_words and tag not in ("html", "body", "main", "article"):
+                    words |= _left_out_words(value, article)
+            elif name == "hidden" or name == "aria-hidden" and value.lower() == "true":
+                cause = "always"
             elif name == "style" and "display:none" in value.lower().replace(" ", ""):
-                out = True
-        if tag not in ("html", "body", "main", "article"):
-            out = out or not _WORDS.isdisjoint(words) or not article and not _PAGE_WORDS.isdisjoint(words)
+                cause = "always"
+            elif name == "role" and value.lower() in _ROLES:
+                cause = cause or "tag"
     if tag == "header" and not article:
-        out = True
+        cause = cause or "tag"
+    if tag == "dialog" and not re.search(r"(?<![\w-])open(?![\w-])", attributes or "", re.I):
+        cause = "closed" if cause != "always" else cause
+    cause = cause or ("words" if words else "")
     path = parent.path
     if tag in _CONTAINER:
         path = f"{path}>{tag}.{classes}" if classes else f"{path}>{tag}"
-    return _Node(tag, parent, path, out, article, parent.link or tag == "a")
+    node = _Node(tag, parent, path, parent.out or bool(cause) and not kept, article, parent.link or tag == "a")
+    node.cause, node.words = cause, frozenset(words)
+    return node
+
+
+def _kept(every: list[_Node]) -> frozenset[int]:
+    """The numbers of elements that are left out by themselves, but hold too much for that."""
+    if not any(n.cause for n in every):
+        return frozenset()
+    root, kept = every[0], set()
+    visible = sum(n.plain for n in every if not n.out)
+    article = any(n.article and n.plain and not n.out for n in every)
+    fixed = [n.cause == "always" or not n.words.isdisjoint(_NEVER_WORDS) for n in every]
+    for node, always in zip(reversed(every), reversed(fixed), strict=True):
+        if node.parent is not None and not always:
+            node.parent.text += node.text
+            node.parent.plain += node.plain
+            node.parent.holds |= node.holds or node.tag in ("article", "main")
+    for at, node in enumerate(every):
+        if not node.cause or fixed[at]:
+            continue
+        edge = node.tag in ("nav", "footer", "aside")
+        light = node.tag in _ARTICLE_TAGS and node.cause != "closed" or node.cause == "words" and node.words <= _ARTICLE_WORDS
+        if (
+            2 * node.plain > root.plain and not (edge and article)
+            or node.holds and (node.tag == "form" or not article and node.plain > visible)
+            or light and node.parent.article and 2 * node.plain > node.text
+        ):
+            kept.add(at)
+    return frozenset(kept)
 
 
 def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
     """Containers, and the blocks of text that are not left out with the element each lies in and their unlinked length."""
+    for by_words in (True, False):
+        nodes, blocks, kept = _read(page, by_words, frozenset())
+        if kept:
+            nodes, blocks, _ = _read(page, by_words, kept)
+        if blocks:
+            break
+    return nodes, blocks
+
+
+def _read(page: str, by_words: bool, kept: frozenset[int]) -> tuple[list[_Node], list[tuple[_Node, str, int]], frozenset[int]]:
+    """The same with the elements in ``kept`` (by their number) not left out, and those that should not be."""
     root = _Node("", None, "", False, False, False)
-    stack, nodes, blocks = [root], [], []
+    stack, nodes, blocks, every = [root], [], [], [root]
     pieces: list[str] = []
     at, size, linked = 0, len(page), 0
 
@@ -126,7 +199,12 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
     def add(raw: str) -> None:
         nonlocal linked
         top = stack[-1]
-        if raw and not top.out:
+        if not raw:
+            return
+        length = len(raw.strip())
+        top.text += length
+        top.plain += 0 if top.link else length
+        if not top.out:
             text = html.unescape(raw) if "&" in raw else raw
             pieces.append(text)
             if top.link:
@@ -172,7 +250,8 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
             pieces.append(" ")
         if tag in _VOID:
             continue
-        node = _open(tag, found[3], stack[-1])
+        node = _open(tag, found[3], stack[-1], by_words, len(every) in kept)
+        every.append(node)
         if not found[3].endswith("/") or tag in _BLOCK:
             stack.append(node)
         if tag in _CONTAINER and not node.out:
@@ -183,7 +262,7 @@ def parse(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
             owner.size += len(text)
             owner.own += own
             owner = owner.parent
-    return nodes, blocks
+    return nodes, blocks, kept or _kept(every)
 
 
 def best(nodes: list[_Node]) -> _Node | None:

@@ -43,6 +43,24 @@ def test_body_below_the_heading():
         assert htmltext.extract(page, path) == htmltext.extract(page, None) == "\n\n".join(want), page
 
 
+def test_wrappers_of_an_article_stay():
+    body, junk = "text of the article " * 5, "<nav><a href=x>menu</a></nav><footer>foot</footer><div class=sidebar>side</div>"
+    for begin, end in [
+        ("<form id=aspnetForm>", "</form>"), ("<form><div class='content no-sidebar'>", "</div></form>"), ("<div class=with-sidebar>", "</div>"),
+        ("<div class=ad-free>", "</div>"), ("<div class='post comments-open'>", "</div>"), ("<div class=widget>", "</div>"),
+        ("<div role=dialog>", "</div>"), ("<div class='main sidebar'><form>", "</form></div>"),
+    ]:
+        for inner in ("<article><p>%s</p></article>", "<div class=x><p>%s</p></div>"):
+            page = f"<body>{junk}{begin}{inner % body}{end}</body>"
+            assert htmltext.extract(page, htmltext.vote(page)[0]) == body.strip(), page
+    kept = "<label>l</label><button>b</button><dialog open>d</dialog><div class=notice>n</div><div class=related>r</div>"
+    left = "<dialog>D</dialog><div class='related'><a href=x>R</a></div><div class=ad>A</div><form>F<label>L</label></form>"
+    assert htmltext.extract(f"<article><p>{body}</p>{kept}{left}</article>", None).split("\n\n") == [body.strip(), "lb", "d", "n", "r"]
+    comments = f"<div id=comments><article>{body * 9}</article></div>"
+    assert htmltext.extract(f"<div class=post><p>{body}</p></div>{comments}", None) == body.strip()
+    assert htmltext.extract("<div class=comments><p>only text</p></div>", None) == "only text"
+
+
 def test_hosts_vote(spark):
     wide = "<html><body><div class=story><p>%s</p></div><div class=teaser><p>%s</p></div></body></html>"
     long, short = "main text of the page " * 20, "see what else there is here " * 16
