@@ -37,7 +37,10 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)|(?=[\s/>]|$))""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg math object".split())
+#: Up to the closing tag, or the end of the page, there is no markup.
+_RAW = frozenset("script style textarea title".split())
+#: An opening tag that is closed nowhere further on opens nothing.
+_UNSURE = frozenset("noscript template iframe svg math object annotation annotation-xml".split())
 _CONTAINER = frozenset("html body main article section div td center blockquote details".split())
 _BLOCK = _CONTAINER | frozenset(
     "address aside caption dd dialog dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li menu nav ol "
@@ -49,8 +52,10 @@ _ENDS = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"},
 }
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
-_LEFT_OUT = frozenset("nav footer aside form button select dialog menu head search label input".split())
-_LEFT_OUT_ALWAYS = frozenset("head select".split())
+_LEFT_OUT = frozenset(
+    "nav footer aside form button select dialog menu head search label input noscript template iframe svg object annotation annotation-xml".split()
+)
+_LEFT_OUT_ALWAYS = frozenset("head select svg annotation annotation-xml".split())
 #: Kept inside an article, like the classes below, if most of the text is not linked.
 _ARTICLE_TAGS = frozenset("label button dialog".split())
 _ARTICLE_WORDS = frozenset("notice related".split())
@@ -172,6 +177,7 @@ def _read(page: str, by_words: bool, kept: frozenset[int]) -> tuple[list[_Node],
     stack, nodes, blocks, every = [root], [], [], [root]
     pieces: list[str] = []
     at, size, linked = 0, len(page), 0
+    closed: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal linked
@@ -250,6 +256,16 @@ def _read(page: str, by_words: bool, kept: frozenset[int]) -> tuple[list[_Node],
             pieces.append(" ")
         if tag in _VOID:
             continue
+        if tag in _UNSURE:
+            if found[3].endswith("/"):
+                continue
+            if tag not in closed:
+                last = None
+                for last in re.finditer(rf"</{tag}\s*>", page, re.I):
+                    pass
+                closed[tag] = last.start() if last else -1
+            if closed[tag] < at:
+                continue
         node = _open(tag, found[3], stack[-1], by_words, len(every) in kept)
         every.append(node)
         if not found[3].endswith("/") or tag in _BLOCK:

@@ -61,6 +61,19 @@ def test_wrappers_of_an_article_stay():
     assert htmltext.extract("<div class=comments><p>only text</p></div>", None) == "only text"
 
 
+def test_elements_without_an_end():
+    for begin in ("<svg width=1 />", "<svg/>", "<math />", "<noscript>", "<object data=x>", "<template>", "<iframe src=x>", "<svg>"):
+        for end in ("", "<svg><text>drawn</text></svg>", "<p>b</p><svg><path d='M0'/></svg>"):
+            if begin == "<svg>" and end:
+                continue
+            want = "a\n\nb" if "b" in end else "a"
+            assert htmltext.extract(f"<body>{begin}<article><p>a</p>{end}</article></body>", None) == want, (begin, end)
+    page = "<article><p>x <math><mi>y</mi><mo>=</mo><mn>2</mn><annotation>TeX</annotation></math> z<noscript>n</noscript><object>o</object></article>"
+    assert htmltext.extract(page, None) == "x y=2 z"
+    article = "<article><p>%s</article>" % ("text " * 9)
+    assert htmltext.extract(f"<body><svg><path d=x></svg><svg width=1>{article}", None) == ("text " * 9).strip()
+
+
 def test_hosts_vote(spark):
     wide = "<html><body><div class=story><p>%s</p></div><div class=teaser><p>%s</p></div></body></html>"
     long, short = "main text of the page " * 20, "see what else there is here " * 16
