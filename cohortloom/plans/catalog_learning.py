@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from cohortloom.operators import cluster, embed, impute, select
@@ -85,13 +83,13 @@ def cluster_index_sweep(spark, sf_dir):
 
 # ------------------------------------------------------------------ embeddings
 
-SMALL = embed.Network(neurons=32, bottleneck=4, epochs=20, rate=0.01)
+NETWORK = embed.Network()
 
 
 @query("embed_autoencoder")
 def embed_autoencoder(spark, sf_dir):
     """Train one network on all vectors; one row with its size and reconstruction loss."""
-    trained = embed.train(cell_vectors(spark, sf_dir), [SMALL])[0]
+    trained = embed.train(cell_vectors(spark, sf_dir), [NETWORK])[0]
     rows = [(trained.inputs, trained.network.bottleneck, sum(w.size for w in trained.weights), trained.loss)]
     return spark.createDataFrame(rows, "inputs int, bottleneck int, weights int, loss double")
 
@@ -99,16 +97,15 @@ def embed_autoencoder(spark, sf_dir):
 @query("embed_predict")
 def embed_predict(spark, sf_dir):
     vectors = cell_vectors(spark, sf_dir)
-    codes = embed.predict(vectors, embed.train(vectors, [SMALL])[0])
-    return codes.select("sample", *[F.get("vector", i).alias(f"Feature{i + 1}") for i in range(SMALL.bottleneck)])
+    codes = embed.predict(vectors, embed.train(vectors, [NETWORK])[0])
+    return codes.select("sample", *[F.get("vector", i).alias(f"Feature{i + 1}") for i in range(NETWORK.bottleneck)])
 
 
 @query("embed_variants")
 def embed_variants(spark, sf_dir):
     """The plain, sparse and denoising network, trained in the same passes."""
-    variants = {name: replace(n, neurons=32, bottleneck=4, epochs=20, rate=0.01) for name, n in embed.VARIANTS.items()}
-    trained = embed.train(cell_vectors(spark, sf_dir), list(variants.values()))
-    return spark.createDataFrame([(name, t.loss) for name, t in zip(variants, trained)], "variant string, loss double")
+    trained = embed.train(cell_vectors(spark, sf_dir), list(embed.VARIANTS.values()))
+    return spark.createDataFrame([(name, t.loss) for name, t in zip(embed.VARIANTS, trained)], "variant string, loss double")
 
 
 @query("add_noise")
@@ -118,15 +115,14 @@ def add_noise(spark, sf_dir):
 
 @query("grid_search_embed")
 def grid_search_embed(spark, sf_dir):
-    grid = {"neurons": [16, 32], "bottleneck": [2, 4], "batch": [256]}
-    return embed.grid_search(cell_vectors(spark, sf_dir), grid, epochs=5)
+    return embed.grid_search(cell_vectors(spark, sf_dir))
 
 
 @query("sink_model")
 def sink_model(spark, sf_dir):
     """Save a trained network, load it again, encode with the loaded one."""
     vectors = cell_vectors(spark, sf_dir)
-    trained = embed.train(vectors, [replace(SMALL, epochs=3)])[0]
+    trained = embed.train(vectors, [NETWORK])[0]
     path = scratch_path(spark, "model")
     embed.save(trained, spark, path)
     return embed.as_features(embed.predict(vectors, embed.load(spark, path, trained.network)))
@@ -141,6 +137,10 @@ def labelled_cells(spark, sf_dir):
     return rows.select("sample", "grp", F.concat(F.lit("Feature"), F.col("at") + 1).alias("feature"), F.col("value").cast("double").alias("value"))
 
 
+#: The vectors are narrower than the operator's steps of 100, which would leave one number, all 64, to choose from.
+COUNTS = [16, 32, 48, 64]
+
+
 def _summary(spark, selection, method):
     """Selected features with the number chosen and the cross-validated score."""
     return selection.features.select(
@@ -151,19 +151,19 @@ def _summary(spark, selection, method):
 
 @query("select_k_best")
 def select_k_best(spark, sf_dir):
-    found = select.select_features(labelled_cells(spark, sf_dir), "grp", "anova", folds=5, repeats=1, counts=[16, 32, 48])
+    found = select.select_features(labelled_cells(spark, sf_dir), "grp", "anova", folds=10, counts=COUNTS)
     return _summary(spark, found, "anova")
 
 
 @query("select_rf_importance")
 def select_rf_importance(spark, sf_dir):
-    found = select.select_features(labelled_cells(spark, sf_dir), "grp", "rf", folds=3, repeats=1, counts=[16, 32], trees=20)
+    found = select.select_features(labelled_cells(spark, sf_dir), "grp", "rf", folds=5, counts=COUNTS)
     return _summary(spark, found, "rf")
 
 
 @query("select_boosted_importance")
 def select_boosted_importance(spark, sf_dir):
-    found = select.select_features(labelled_cells(spark, sf_dir), "grp", "boosted", folds=2, repeats=1, counts=[16, 32], trees=5)
+    found = select.select_features(labelled_cells(spark, sf_dir), "grp", "boosted", folds=5, counts=COUNTS)
     return _summary(spark, found, "boosted")
 
 
@@ -179,8 +179,6 @@ def feature_selection_run(spark, sf_dir):
     """ANOVA and forest selection of three data types: thirds of the vector's positions stand for them."""
     cells = labelled_cells(spark, sf_dir).withColumn("type", F.regexp_extract("feature", "[0-9]+", 0).cast("int") % 3)
     types = {name: cells.where(F.col("type") == at).drop("type") for at, name in enumerate(("rna", "mirna", "mt"))}
-    found = select.select_for_types(
-        types, "grp", anova_folds=3, forest_folds=2, trees=10, common={"repeats": 1, "counts": [8, 16]}
-    )
+    found = select.select_for_types(types, "grp", common={"counts": [8, 16, 21]})
     rows = [(name, method, s.count, round(s.score, 6)) for (name, method), s in found.items()]
     return spark.createDataFrame(rows, "data_type string, method string, n_selected int, f1 double")
