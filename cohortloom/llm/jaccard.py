@@ -3,10 +3,8 @@
 Equal texts form a class and are looked at once. Each class has ``TREES`` signatures of ``DEPTH`` minima of its shingle set. In a
 tree the signatures, sorted, are the leaves of a prefix trie; two classes meet in it as deep as their common prefix. Meetings are
 looked up at the shortest prefix that still gives the target recall at the threshold, 1 - (1 - t ^ k) ^ TREES, and those classes
-are brought together, with their whole shingle sets, in blocks. There the prefixes are shortened step by step, from whole
-signatures down: the pairs that share a prefix of the length in some tree, and none longer, are verified exactly, and each link found
-with similarity s counts as 1 / (1 - (1 - s ^ k) ^ TREES) links that are there. Once the links found are the target share of those,
-the block is done; a block without links goes down to the shortest prefix.
+are brought together, with their whole shingle sets, in blocks. There all pairs that share a prefix of that length in some tree are
+verified exactly.
 
 Classes that meet are put in one block as far as they fit in ``BLOCK_SHINGLES``; larger families are dealt over several blocks by hash
 and every two blocks that share a bucket are verified against each other, so no task holds more than two blocks and no pair is ever a
@@ -152,50 +150,39 @@ class _Found:
             self._root[b] = a
 
 
-def verify(matrix: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, shortest: int, threshold: float, recall: float,
-           keep_pairs: bool = False) -> _Found:
+def verify(matrix: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, shortest: int, threshold: float, keep_pairs: bool = False) -> _Found:
     """All links among the classes, or with ``side`` those between its two sides, as far as the forest brings them together."""
-    n, trees, depth = matrix.shape
+    n = len(matrix)
     found = _Found(n)
     sizes = np.array([len(s) for s in sets])
     edges = np.concatenate([[0], np.cumsum(sizes)])
     universe, ids = np.unique(np.concatenate(sets), return_inverse=True)
-    keys = {k: _prefix_keys(matrix, k) for k in range(shortest, depth + 1)}
+    keys = _prefix_keys(matrix, shortest)
     mark = np.zeros(len(universe), np.int32)
     candidates = []
     for i in range(n - 1):
         later = np.arange(i + 1, n)
         if side is not None:
             later = later[side[i + 1 :] != side[i]]
-        candidates.append(later[(keys[shortest][later] == keys[shortest][i]).any(1)])
-    seen, there = 0, 0.0
-    for length in range(depth, shortest - 1, -1):
-        for i, later in enumerate(candidates):
-            if not len(later):
-                continue
-            now = (keys[length][later] == keys[length][i]).any(1) if length > shortest else np.ones(len(later), bool)
-            others, candidates[i] = later[now], later[~now]
-            if not len(others):
-                continue
-            mark[ids[edges[i] : edges[i + 1]]] = 1
-            if len(others) * 4 > n - i:
-                first = others[0]
-                shared = np.add.reduceat(mark[ids[edges[first] :]], edges[first:-1] - edges[first])[others - first]
-            else:
-                shared = np.array([mark[ids[edges[j] : edges[j + 1]]].sum() for j in others])
-            mark[ids[edges[i] : edges[i + 1]]] = 0
-            similarity = shared / (sizes[i] + sizes[others] - shared)
-            good = similarity >= threshold - 1e-12
-            if good.any():
-                found.add(i, others[good], similarity[good], keep_pairs)
-                seen += int(good.sum())
-                there += float((1 / reach(similarity[good], length, trees)).sum())
-        if seen and seen >= recall * there:
-            break
+        candidates.append(later[(keys[later] == keys[i]).any(1)])
+    for i, others in enumerate(candidates):
+        if not len(others):
+            continue
+        mark[ids[edges[i] : edges[i + 1]]] = 1
+        if len(others) * 4 > n - i:
+            first = others[0]
+            shared = np.add.reduceat(mark[ids[edges[first] :]], edges[first:-1] - edges[first])[others - first]
+        else:
+            shared = np.array([mark[ids[edges[j] : edges[j + 1]]].sum() for j in others])
+        mark[ids[edges[i] : edges[i + 1]]] = 0
+        similarity = shared / (sizes[i] + sizes[others] - shared)
+        good = similarity >= threshold - 1e-12
+        if good.any():
+            found.add(i, others[good], similarity[good], keep_pairs)
     return found
 
 
-def _verified_rows(trees: int, depth: int, shortest: int, threshold: float, recall: float, pairs: bool):
+def _verified_rows(trees: int, depth: int, shortest: int, threshold: float, pairs: bool):
     def work(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by([("block", "ascending"), ("row", "ascending")])
         row, block = table["row"].to_numpy(), table["block"].to_numpy()
@@ -208,7 +195,7 @@ def _verified_rows(trees: int, depth: int, shortest: int, threshold: float, reca
                 continue
             matrix = _matrix(table["signature"][a:b], trees, depth)
             sets = [np.frombuffer(x.as_py(), np.uint64) for x in table["shingles"][a:b]]
-            found = verify(matrix, sets, side[a:b] if alone else None, shortest, threshold, recall, pairs)
+            found = verify(matrix, sets, side[a:b] if alone else None, shortest, threshold, pairs)
             linked = np.flatnonzero(found.links)
             out_rows.append(row[a:b][linked])
             out_links.append(found.links[linked])
@@ -264,7 +251,7 @@ def _verified(texts: DataFrame, classes: DataFrame, n: int, threshold: float, tr
         )
         for i, mine in enumerate(("block_a", "block_b"))
     ]
-    work = _verified_rows(trees, depth, shortest, threshold, recall, pairs)
+    work = _verified_rows(trees, depth, shortest, threshold, pairs)
     schema = "row_a long, row_b long, similarity double" if pairs else "row long, links long, root long"
     return step(inside.unionByName(sides[0]).unionByName(sides[1]).groupBy("group_a", "group_b").applyInArrow(work, schema), "links")
 

@@ -101,6 +101,18 @@ def test_short_texts(spark):
     check(spark, ["a b c", "a b c", "a b", "", " ", "a b c ", "a  b c", "d e f g h", "d e f g h i"])
 
 
+def test_close_copies_do_not_hide_a_borderline_link():
+    shortest = jaccard.shortest_prefix(jaccard.THRESHOLD, jaccard.RECALL)
+    base = np.arange(100, dtype=np.uint64)
+    sets = [np.concatenate([base, [np.uint64(1000 + i)]]) for i in range(40)] + [np.arange(500, 600, dtype=np.uint64), np.arange(510, 600, dtype=np.uint64)]
+    matrix = np.zeros((len(sets), jaccard.TREES, jaccard.DEPTH), np.uint16)
+    # The last two share a shortest prefix in one tree and no longer one.
+    matrix[-2], matrix[-1] = 1, 2
+    matrix[-1, 0, :shortest] = 1
+    found = jaccard.verify(matrix, sets, None, shortest, threshold=jaccard.THRESHOLD, keep_pairs=True)
+    assert found.links.tolist() == [39] * 40 + [1, 1] and (40, 41, 0.9) in found.pairs
+
+
 @pytest.mark.parametrize("threshold,recall", [(0.8, 0.9995), (0.5, 0.9)])
 def test_shortest_prefix_reaches_the_target(threshold, recall):
     k = jaccard.shortest_prefix(threshold, recall)
