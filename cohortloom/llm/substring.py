@@ -1,12 +1,13 @@
-"""Substring deduplication by relative Lempel-Ziv parsing against reference blocks that all texts share.
+"""Substring deduplication by windows anchored at minimisers, which replace a relative Lempel-Ziv parse.
 
-The reference is the whole corpus, cut into blocks: each run of ``length`` words chooses one phrase of ``BLOCK`` words inside
+No factor is matched greedily against a reference: to match every text against all blocks of a corpus would grow with its square.
+Instead each run of ``length`` words chooses one phrase of ``BLOCK`` words inside
 it (the one with the smallest hash, the leftmost of equals), so two equal runs choose the same phrase at the same place. Every
 phrase so chosen, of every text, is indexed under its hash.
 
-A text is parsed from left to right into factors. A factor extends greedily over all consecutive runs that choose the same
-phrase; phrases that the index holds once end in literals. If all factors on a phrase are equal, from end to end, the factor is
-a duplicate span as a whole. Where they differ, the parse has met a factor boundary (an edit, the end of a passage), and the
+A text is cut from left to right into factors: the consecutive runs that choose the same phrase, whatever other texts hold.
+Phrases that the index holds once are kept. If all factors on a phrase are equal, from end to end, the factor is
+a duplicate span as a whole. Where they differ, there is a boundary (an edit, the end of a passage), and the
 runs of ``length`` words across it are checked one by one against the runs of the other factors on such phrases. A run that
 starts in two places chooses one phrase, so both of its places are seen on the same side: nothing is lost, and no pair of
 texts is ever formed.
