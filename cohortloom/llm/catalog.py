@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cohortloom.llm import ann, htmltext, jaccard, lm, mixing, packing, quality, rules, shards, substring
+from cohortloom.llm import ann, htmltext, jaccard, lm, mixing, packing, quality, ring, rules, shards, substring
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -156,3 +157,11 @@ def op1_nearest_neighbours(spark, sf_dir):
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     return ann.search(index, index.table.filter("vec_id % 100 = 0"))
+
+
+@_query("op13_sharding")
+def op13_sharding(spark, sf_dir):
+    placed = ring.assign(_table(spark, sf_dir, "documents"), 16, is_stored=True)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard"
+    )
