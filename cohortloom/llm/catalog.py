@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import ann, htmltext, jaccard, lm, mixing, packing, quality, ring, rules, shards, substring
+from cohortloom.llm import align, ann, htmltext, jaccard, lm, mixing, packing, quality, ring, rules, shards, substring, trie
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -165,3 +165,39 @@ def op13_sharding(spark, sf_dir):
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard"
     )
+
+
+@_query(
+    "op12_conversation_trie",
+    f"""
+    WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS p, coalesce(role, '') AS role,
+                      coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    i AS (SELECT DISTINCT conv_id FROM t),
+    c AS (SELECT conv_id, conv_id - conv_id % 20 AS base, 3 - (list_reduce(
+                 flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [CAST(ascii(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+                 lambda a, s: CASE WHEN s >= 0 THEN xor(a, s) ELSE xor(a >> 1, CASE WHEN a & 1 = 1 THEN 3988292384 ELSE 0 END) END,
+                 CAST(4294967295 AS BIGINT)) & 3) AS h FROM i),
+    r AS (SELECT c.conv_id, 0 AS s, p, role, text FROM c JOIN t ON t.conv_id = base AND p <= h
+          UNION ALL SELECT conv_id, 1, p, role, text FROM c JOIN t USING (conv_id) WHERE p > h),
+    n AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY s, p) AS d,
+                 md5(concat(CAST(length(role) AS VARCHAR), ':', role, text)) AS m, len({_WORDS.format(text='text')}) AS w FROM r),
+    q AS (SELECT conv_id, 0 AS d, 0 AS w, '' AS k FROM c
+          UNION ALL SELECT conv_id, d, w, string_agg(m, '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d) FROM n),
+    z AS (SELECT *, max(d) OVER (PARTITION BY conv_id) AS top FROM q),
+    g AS (SELECT k, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(w) AS w,
+                 sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE d = top), '')) AS ends FROM z GROUP BY 1, 2),
+    x AS (SELECT left(k, length(k) - 32) AS k, count(*) AS n FROM g WHERE d > 0 GROUP BY 1),
+    f AS (SELECT g.*, coalesce(n, 0) AS n_children FROM g LEFT JOIN x USING (k)),
+    a AS (SELECT k, d, n_children, (n_convs - 1) * w AS own, unnest(range(0, d + 1)) AS e FROM f),
+    b AS (SELECT left(k, 32 * e) AS k, count(*) FILTER (WHERE n_children = 0) AS n_leaves, CAST(sum(own) AS BIGINT) AS saved_tokens FROM a GROUP BY 1)
+    SELECT f.conv_id, CAST(f.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends AS ends_sha256
+    FROM f JOIN b USING (k) LEFT JOIN f AS u ON f.d > 0 AND u.k = left(f.k, length(f.k) - 32)""",
+)
+def op12_conversation_trie(spark, sf_dir):
+    return trie.trie(trie.with_family_starts(trie.turns(_table(spark, sf_dir, "conversations")))).drop("key")
+
+
+@_query("op11_tokenizer_alignment")
+def op11_tokenizer_alignment(spark, sf_dir):
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.aligned(_table(spark, sf_dir, "documents"), a, b)
