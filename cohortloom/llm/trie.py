@@ -8,9 +8,11 @@ one combined shuffle, however many conversations share the node.
 
 A conversation's path (the hash after each turn, and the words of each turn) is made once, in segments of ``SEGMENT`` turns, by a task
 that reads the sorted turns as a stream. A node carries the segment it is in; when that is used up, its smallest member's segment
-before is joined. So no row grows with the length of a conversation. Each level is written to the shared folder: there is a short job for
-every level, which is what very long conversations cost. Members that end at a node are put together in order in lists of ``LIST_IDS``,
-which a task then reads as a stream.
+before is joined. So no row grows with the length of a conversation. Each level is written to the shared folder by a short job.
+Equal conversations are put together first. If such a group meets no other at the end of one of its segments, it meets none below
+either: it passes those levels at once and enters the peeling just above, with one child. So there are as many levels to go through as
+different conversations share, rounded up to a segment. Members that end at a node are put together in order in lists of
+``LIST_IDS``, which a task then reads as a stream.
 
 Turns are ordered by number, null first; turns of equal number by a hash of role and text. Null role or text is empty. Rows without
 a conversation take no part. Repeated rows are turns of their own. An empty table gives an empty result; other columns are not read.
@@ -80,14 +82,15 @@ def _paths(segment: int, kind: pa.DataType):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
-        now, exists, met, at, keys, words, last = None, False, 0, 0, [], [], b""
+        now, exists, met, at, keys, words, last, base, before = None, False, 0, 0, [], [], b"", b"", 0
 
         def made() -> pa.RecordBatch:
-            convs, numbers, paths, counts, ends = zip(*out, strict=True)
+            convs, numbers, paths, counts, ends, bases, befores = zip(*out, strict=True)
             out.clear()
             return pa.RecordBatch.from_pydict({
                 "conv_id": pa.array(convs, kind), "keys": pa.array(paths, pa.list_(pa.binary())), "words": pa.array(counts, pa.list_(pa.int64())),
-                "ends": pa.array(ends, pa.bool_()), "seg": pa.array(numbers, pa.int32()),
+                "ends": pa.array(ends, pa.bool_()), "base": pa.array(bases, pa.binary()), "before": pa.array(befores, pa.int64()),
+                "seg": pa.array(numbers, pa.int32()),
             })
 
         for batch in batches:
@@ -95,37 +98,37 @@ def _paths(segment: int, kind: pa.DataType):
             for conv, own, digest, n, skip in zip(*columns, strict=True):
                 if conv != now:
                     if exists:
-                        out.append((now, at, keys, words, True))
-                    now, exists, met, at, keys, words, last = conv, False, 0, 0, [], [], b""
+                        out.append((now, at, keys, words, True, base, before))
+                    now, exists, met, at, keys, words, last, base, before = conv, False, 0, 0, [], [], b"", b"", 0
                 if own:
                     exists = True
                     met += 1
                     if met <= skip:
                         continue
                 if len(keys) == segment:
-                    out.append((now, at, keys, words, False))
-                    at, keys, words = at + 1, [], []
+                    out.append((now, at, keys, words, False, base, before))
+                    at, base, before, keys, words = at + 1, last, before + sum(words), [], []
                 last = hashlib.md5(last + digest).digest()
                 keys.append(last)
                 words.append(n)
             if out:
                 yield made()
         if exists:
-            out.append((now, at, keys, words, True))
+            out.append((now, at, keys, words, True, base, before))
             yield made()
 
     return work
 
 
 def paths(rows: DataFrame, segment: int = SEGMENT) -> DataFrame:
-    """``conv_id, keys, words, ends, seg``: segment ``seg`` of each conversation's path, the last one with ``ends``; a conversation
-    without turns has one empty segment. Written by segment."""
+    """``conv_id, keys, words, ends, base, before, seg``: segment ``seg`` of each conversation's path, the last one with ``ends``; ``base`` is
+    the hash and ``before`` the words of all turns before it. A conversation without turns has one empty segment. Written by segment."""
     if segment <= MOST_SHARED:
         raise ValueError(f"a segment needs more than {MOST_SHARED} turns")
     kind = rows.schema["conv_id"].dataType
     arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(kind.simpleString(), pa.string())
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "own", F.col("turn").asc_nulls_first(), "digest")
-    schema = f"conv_id {kind.simpleString()}, keys array<binary>, words array<bigint>, ends boolean, seg int"
+    schema = f"conv_id {kind.simpleString()}, keys array<binary>, words array<bigint>, ends boolean, base binary, before bigint, seg int"
     return materialize(dealt.mapInArrow(_paths(segment, arrow), schema), "trie-paths", partition_by=["seg"])
 
 
@@ -140,15 +143,54 @@ def _leaves() -> Column:
     return F.when(F.col("n_children") == 0, F.lit(1).cast("long")).otherwise(F.col("n_leaves"))
 
 
+def _total(numbers: Column | str) -> Column:
+    return F.aggregate(numbers, F.lit(0).cast("long"), lambda total, x: total + x)
+
+
+def _last_key() -> Column:
+    return F.when(F.size("keys") > 0, F.element_at("keys", -1)).otherwise(F.lit(bytearray()))
+
+
+def entrances(segments: DataFrame, segment: int) -> tuple[DataFrame, DataFrame]:
+    """Where groups of equal conversations, by their smallest, enter the peeling: the segment they are in with the turns up to there, and what
+    lies below. And the nodes below, which no other conversation shares."""
+    ended = segments.filter("ends").withColumn("total", F.col("before") + _total("words"))
+    groups = ended.groupBy(_last_key().alias("key")).agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"), F.first("total").alias("total"))
+    groups = step(groups.drop("key"), "trie-groups")
+    of_groups = segments.join(groups, "conv_id")
+    full = of_groups.filter(F.size("keys") == segment).select(F.element_at("keys", -1).alias("key"), "conv_id", "seg")
+    alone = full.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.first("conv_id").alias("conv_id"), F.first("seg").alias("seg")).filter("n = 1")
+    tails = step(alone.groupBy("conv_id").agg(F.min("seg").alias("tail_seg")), "trie-tails")
+    placed = of_groups.join(tails, "conv_id", "left")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    columns = ["conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "keys", "words", "seg"]
+    whole = placed.filter("tail_seg IS NULL AND ends").withColumns({"n_children": zero, "n_leaves": zero, "saved_tokens": zero})
+    cut = F.col("total") - F.col("before") - _total(F.slice("words", 1, segment - 1))
+    parted = placed.filter("seg = tail_seg").withColumns({
+        "n_children": one, "n_leaves": one, "saved_tokens": (F.col("n_convs") - 1) * cut,
+        "keys": F.slice("keys", 1, segment - 1), "words": F.slice("words", 1, segment - 1),
+    })
+    entering = materialize(whole.select(*columns).unionByName(parted.select(*columns)), "trie-entrances", partition_by=["seg"])
+
+    below = placed.filter("seg >= tail_seg").select("*", F.posexplode("keys").alias("at", "key"))
+    below = below.filter((F.col("seg") > F.col("tail_seg")) | (F.col("at") == segment - 1))
+    rest = F.col("total") - F.col("before") - _total(F.slice("words", F.lit(1), F.col("at")))
+    is_last = F.col("ends") & (F.col("at") == F.size("keys") - 1)
+    private = below.select(
+        "key", F.when(F.col("at") == 0, F.col("base")).otherwise(F.get("keys", F.col("at") - 1)).alias("parent"), "conv_id", "n_convs",
+        F.when(is_last, zero).otherwise(one).alias("n_children"), one.alias("n_leaves"), ((F.col("n_convs") - 1) * rest).alias("saved_tokens"),
+        (F.col("seg") * segment + F.col("at") + 1).cast("int").alias("depth"),
+    )
+    return entering, private
+
+
 def peel(segments: DataFrame, segment: int = SEGMENT) -> DataFrame | None:
     """All nodes: ``key, parent, depth, conv_id, n_convs, n_children, n_leaves, saved_tokens``; None if there is no conversation."""
     spark = segments.sparkSession
-    ended = segments.filter("ends").withColumn("depth", F.col("seg") * segment + F.size("keys"))
-    deepest = ended.agg(F.max("depth")).first()[0]
+    entering, private = entrances(segments, segment)
+    deepest = entering.agg(F.max(F.col("seg") * segment + F.size("keys"))).first()[0]
     if deepest is None:
         return None
-    long = F.lit(0).cast("long")
-    entering = ended.withColumns({"n_convs": F.lit(1).cast("long"), "n_children": long, "n_leaves": long, "saved_tokens": long})
     folder = scratch_path(spark, "trie-nodes")
     kind = segments.schema["conv_id"].dataType.simpleString()
     counts = "n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint"
@@ -182,7 +224,7 @@ def peel(segments: DataFrame, segment: int = SEGMENT) -> DataFrame | None:
     })
     root.select("key", "parent", "conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "keys", "words").write.parquet(f"{folder}/depth=0")
     release(spark)
-    return spark.read.schema(schema + ", depth int").parquet(folder).drop("keys", "words")
+    return spark.read.schema(schema + ", depth int").parquet(folder).drop("keys", "words").unionByName(private)
 
 
 def _listed(kind: pa.DataType, most: int):
@@ -233,8 +275,7 @@ def ending(segments: DataFrame, list_ids: int = LIST_IDS) -> DataFrame:
     """``key, ends_sha256``: the hash of the members that end at a node, in order, for nodes that have any."""
     kind = segments.schema["conv_id"].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())
-    key = F.when(F.size("keys") > 0, F.element_at("keys", -1)).otherwise(F.lit(bytearray()))
-    members = segments.filter("ends").select(key.alias("key"), "conv_id")
+    members = segments.filter("ends").select(_last_key().alias("key"), "conv_id")
     ordered = members.repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id")
     lists = ordered.mapInArrow(_listed(arrow, list_ids), f"key binary, first {kind}, ids string")
     return lists.repartition("key").sortWithinPartitions("key", "first").mapInArrow(_hashed, "key binary, ends_sha256 string")

@@ -65,7 +65,8 @@ def awkward_rows():
             rows.append((conv, turn, ("user", "assistant")[turn % 2], f"turn {turn} of kind {conv % 3 if turn < 2 else conv % 5} {'w ' * turn}"))
     rows += [(200, None, None, None), (200, 1, "user", None), (200, 2, None, "x"), (201, None, "", ""), (201, 1, "user", ""), (201, 2, "", "x")]
     rows += [(conv, t, "user", f"same {t}") for conv in range(300, 380) for t in range(4)]
-    rows += [(conv, t, "user", f"long {t if t != 12 else conv}") for conv in (401, 402, 403) for t in range(conv - 385)]
+    rows += [(conv, t, "user", f"long {t if t != 12 else conv}") for conv in (401, 402, 403) for t in range(conv - 388)]
+    rows += [(conv, t, "user", f"alone {'w ' * (t % 3)}{t if t < 6 else t + conv // 10}") for conv in (600, 601, 602, 610, 640) for t in range(conv % 3 + 18)]
     rows += [(500, 3, "user", "twice"), (500, 3, "user", "twice"), (501, 0, "a", "b:c"), (502, 0, "a:b", "c"), (503, 0, "", " " * 3), (504, 0, "user", "y " * 30_000)]
     return rows
 
