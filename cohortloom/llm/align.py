@@ -51,7 +51,9 @@ class ByteLevel:
         for token, at in vocabulary.items():
             if all(letter in byte_of for letter in token):
                 self.pieces[at] = bytes(byte_of[letter] for letter in token)
-        self._encode = self._ranked(made, vocabulary) or self._whole(path)
+        self._encode = self._ranked(made, vocabulary)
+        self.keeps_bytes = self._encode is not None
+        self._encode = self._encode or self._whole(path)
 
     def _ranked(self, made: dict, vocabulary: dict):
         model, before = made["model"], made["pre_tokenizer"] or {}
@@ -100,13 +102,19 @@ class _Side:
     def __init__(self, tokenizer):
         self.encode, self.pieces = tokenizer.encode, tokenizer.pieces
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
+        self.keeps_bytes = getattr(tokenizer, "keeps_bytes", False)
         self.spaced = np.array([p.startswith(b" ") for p in self.pieces])
+        self.written = {mark: np.array([b"%d" % at + mark for at in range(len(self.pieces))], object) for mark in (b",", b"|", b";")}
 
-    def spells(self, ids: list[int], text: bytes) -> bool:
+    def spells(self, ids, text: bytes) -> bool:
+        if self.keeps_bytes:
+            return int(self.lengths[ids].sum()) == len(text)  # merges of a text's own bytes
         return b"".join(map(self.pieces.__getitem__, ids)) == text
 
 
-Key = tuple[bytes, bytes]
+#: The ids of a window: those of A, then those of B with their highest bit set, 32 bits each.
+Key = bytes
+OF_B = np.uint32(1 << 31)
 
 
 class Aligner:
@@ -119,11 +127,8 @@ class Aligner:
         """The ids of each text, None if it has none."""
         some = [t or "" for t in texts]
         for text, a, b in zip(some, self.a.encode(some), self.b.encode(some), strict=True):
-            spelled = b" " + text.encode()
-            if text and self.a.spells(a, spelled) and self.b.spells(b, spelled):
-                yield np.array(a, "<u4"), np.array(b, "<u4")
-            else:
-                yield None
+            spelled, a = b" " + text.encode(), np.array(a, "<u4")
+            yield (a, np.array(b, "<u4")) if text and self.a.spells(a, spelled) and self.b.spells(b, spelled) else None
 
     def shared(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in ``a`` and in ``b`` of the tokens that end where one of the other side does."""
@@ -135,38 +140,42 @@ class Aligner:
     def windows(self, a: np.ndarray, b: np.ndarray, in_a: np.ndarray, in_b: np.ndarray) -> list[Key]:
         """The text cut at its anchors: the ids of each window."""
         anchors = self.a.spaced[a[in_a[:-1] + 1]] & self.b.spaced[b[in_b[:-1] + 1]]
-        a_cuts = [0, *((in_a[:-1][anchors] + 1) * 4).tolist(), 4 * len(a)]
-        b_cuts = [0, *((in_b[:-1][anchors] + 1) * 4).tolist(), 4 * len(b)]
-        a_ids, b_ids = a.tobytes(), b.tobytes()
-        return [(a_ids[s:e], b_ids[t:u]) for s, e, t, u in zip(a_cuts, a_cuts[1:], b_cuts, b_cuts[1:])]
-
-    def groups(self, key: Key) -> tuple[list[tuple[list[int], list[int]]], list[tuple[int, int]]]:
-        """The groups of a window, and its links, by walking both sides at once."""
-        a, b = (np.frombuffer(side, "<u4") for side in key)
-        a_left, b_left = self.a.lengths[a].tolist(), self.b.lengths[b].tolist()
-        a, b = a.tolist(), b.tolist()
-        groups, links = [], []
-        i = j = from_a = from_b = 0
-        while i < len(a):
-            links.append((a[i], b[j]))
-            gap = a_left[i] - b_left[j]
-            if gap < 0:
-                b_left[j] = -gap
-                i += 1
-            elif gap > 0:
-                a_left[i] = gap
-                j += 1
-            else:
-                i, j = i + 1, j + 1
-                groups.append((a[from_a:i], b[from_b:j]))
-                from_a, from_b = i, j
-        return groups, links
-
-    def learn(self, key: Key) -> tuple[bytes, bytes]:
-        """Text of a window's groups, and its links as pairs of numbers."""
-        groups, links = self.groups(key)
-        text = ";".join(f"{','.join(map(str, a))}|{','.join(map(str, b))}" for a, b in groups)
-        return text.encode(), np.array(links, "<u4").tobytes()
+        a_cuts, b_cuts = (np.concatenate([[0], place[:-1][anchors] + 1, [size]]) for place, size in ((in_a, len(a)), (in_b, len(b))))
+        both = np.empty(len(a) + len(b), "<u4")
+        both[np.arange(len(a)) + np.repeat(b_cuts[:-1], np.diff(a_cuts))] = a
+        both[np.arange(len(b)) + np.repeat(a_cuts[1:], np.diff(b_cuts))] = b | OF_B
+        ids, cuts = both.tobytes(), (4 * (a_cuts + b_cuts)).tolist()
+        return [ids[s:e] for s, e in zip(cuts, cuts[1:])]
+
+    def learn(self, keys: list[Key]) -> list[tuple[bytes, bytes]]:
+        """Text of the groups of each window, and its links as pairs of numbers. The windows are laid end to end: their ends are shared, so
+        they do not touch each other."""
+        if not keys:
+            return []
+        both = np.frombuffer(b"".join(keys), "<u4")
+        is_b = both >= OF_B
+        a, b = both[~is_b], both[is_b] ^ OF_B
+        sizes = np.array(list(map(len, keys)), np.int64) // 4
+        b_sizes = np.add.reduceat(is_b, np.cumsum(sizes) - sizes, dtype=np.int64)
+        a_sizes = sizes - b_sizes
+        a_ends, b_ends = np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b])
+        at_a, at_b = np.zeros(a_ends[-1] + 1, bool), np.zeros(a_ends[-1] + 1, bool)
+        at_a[a_ends] = at_b[b_ends] = True
+        # The overlap of two linked tokens ends where either of them does, and every end is that of one overlap.
+        ends = (at_a | at_b).nonzero()[0]
+        links = np.stack([a[(np.cumsum(at_a) - at_a)[ends]], b[(np.cumsum(at_b) - at_b)[ends]]], axis=1).tobytes()
+        to = np.searchsorted(ends, a_ends[np.cumsum(a_sizes) - 1], "right") * 8
+        # A group is written as its ids of A, then those of B; each id comes with the mark behind it.
+        a_last, b_last = at_b[a_ends], at_a[b_ends]
+        a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+        before_b = np.cumsum(np.bincount(b_group)) - np.bincount(b_group)
+        parts = np.empty(len(a) + len(b), object)
+        parts[np.arange(len(a)) + before_b[a_group]] = np.where(a_last, self.a.written[b"|"][a], self.a.written[b","][a])
+        parts[np.arange(len(b)) + np.cumsum(np.bincount(a_group))[b_group]] = np.where(b_last, self.b.written[b";"][b], self.b.written[b","][b])
+        cuts, parts = np.cumsum(a_sizes + b_sizes).tolist(), parts.tolist()
+        texts = [b"".join(parts[s:e])[:-1] for s, e in zip([0, *cuts], cuts)]
+        to = to.tolist()
+        return [(text, links[s:e]) for text, s, e in zip(texts, [0, *to], to)]
 
 
 @cache
@@ -193,32 +202,27 @@ class _Chunk:
         self.windows: list[tuple[bytes, bytes]] = []
         self.ids, self.of_texts, self.rows, self.bytes = [], [], [], 0
 
-    def numbers(self, keys: list[Key], learn) -> list[int]:
-        found = list(map(self.index.get, keys))
-        if None in found:
-            for at, number in enumerate(found):
-                if number is None:
-                    key = keys[at]
-                    if key not in self.index:
-                        old = self.known.get(key)
-                        self.index[key] = len(self.windows)
-                        self.windows.append(learn(key) if old is None else self.known_windows[old])
-                    found[at] = self.index[key]
-        return found
-
-    def add(self, doc_id, size: int, tokens, aligned: Aligner) -> None:
+    def meet(self, texts: list[list[Key] | None], aligned: Aligner) -> None:
+        """Takes in the windows of some texts that come next; what neither this chunk nor the one before has met is aligned, all at once."""
+        new = []
+        for key in set().union(*[keys for keys in texts if keys]).difference(self.index):
+            old = self.known.get(key)
+            if old is None:
+                new.append(key)
+            else:
+                self.index[key] = len(self.windows)
+                self.windows.append(self.known_windows[old])
+        self.index.update(zip(new, range(len(self.windows), len(self.windows) + len(new)), strict=True))
+        self.windows += aligned.learn(new)
+
+    def add(self, doc_id, size: int, keys: list[Key] | None, counts: tuple[int, int, int]) -> None:
+        """A text whose windows the chunk has met."""
         self.bytes += size
         self.ids.append(doc_id)
-        if tokens is None:
-            self.of_texts.append(np.zeros(0, "<u4"))
-            self.rows.append((0, 0, 0, ""))
-            return
-        a, b = tokens
-        in_a, in_b = aligned.shared(a, b)
-        numbers = self.numbers(aligned.windows(a, b, in_a, in_b), aligned.learn)
-        digest = hashlib.sha256(b";".join([self.windows[n][0] for n in numbers])).hexdigest()
+        numbers = list(map(self.index.__getitem__, keys)) if keys else []
+        digest = hashlib.sha256(b";".join([self.windows[n][0] for n in numbers])).hexdigest() if keys else ""
         self.of_texts.append(np.array(numbers, "<u4"))
-        self.rows.append((len(a), len(b), len(in_a), digest))
+        self.rows.append((*counts, digest))
 
     def row(self, number: int, kind: pa.DataType) -> pa.RecordBatch:
         used = np.concatenate(self.of_texts)
@@ -247,12 +251,19 @@ def _chunk_rows(a_path: str, b_path: str, most: int):
         aligned, number, chunk, kind = aligner(a_path, b_path), TaskContext.get().partitionId() << 32, _Chunk(), None
         for part in slices(batches):
             texts, kind = part["text"].to_pylist(), part.schema.field("doc_id").type
-            for doc_id, text, tokens in zip(part["doc_id"].to_pylist(), texts, aligned.tokens(texts), strict=True):
-                size = len(text or "")
+            keys, counts = [], []
+            for tokens in aligned.tokens(texts):
+                shared = aligned.shared(*tokens) if tokens else None
+                keys.append(aligned.windows(*tokens, *shared) if tokens else None)
+                counts.append((len(tokens[0]), len(tokens[1]), len(shared[0])) if tokens else (0, 0, 0))
+            chunk.meet(keys, aligned)
+            for i, doc_id in enumerate(part["doc_id"].to_pylist()):
+                size = len(texts[i] or "")
                 if chunk.ids and chunk.bytes + size > most:
                     yield chunk.row(number, kind)
                     number, chunk = number + 1, _Chunk(chunk)
-                chunk.add(doc_id, size, tokens, aligned)
+                    chunk.meet(keys[i:], aligned)
+                chunk.add(doc_id, size, keys[i], counts[i])
         if chunk.ids:
             yield chunk.row(number, kind)
 
