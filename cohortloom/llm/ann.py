@@ -11,7 +11,8 @@ on the original vectors in double precision, so every score returned is exact.
 How many lists to visit is measured, not guessed: for ``CALIBRATE`` queries the true neighbours are found by a scan of all vectors, and
 the smallest number of lists that holds the target share of them is taken. Data without clusters therefore visit many lists.
 
-Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part, nor do rows without an
+An index holds vectors of one length; ``nearest`` searches those of each length among their own, with an index for each, because there is no
+distance between vectors of different lengths. Vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an
 id. Equal distances go to the smaller id. Repeated rows are candidates of their own; only a query's own row is left out. An empty table
 gives an empty result; other columns are not read.
 """
@@ -55,17 +56,20 @@ def _bytes(matrix: np.ndarray) -> pa.Array:
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``row, vec_id, vector`` (array of doubles) of the rows that take part."""
+    """``row, vec_id, vector`` (array of doubles) of the rows that take part, of any length."""
     read = vectors.select(
         F.monotonically_increasing_id().alias("row"), F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").cast("array<double>").alias("vector")
     )
-    finite = read.filter(
+    return read.filter(
         F.col("vec_id").isNotNull() & F.col("vector").isNotNull()
         & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
         & F.exists("vector", lambda x: x != 0)
     )
-    length = finite.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return finite.filter(F.size("vector") == (length["n"] if length else 0))
+
+
+def lengths(points: DataFrame) -> list[int]:
+    """The lengths there are, the most common first."""
+    return [r["n"] for r in points.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").collect()]
 
 
 def _squares(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -101,9 +105,12 @@ def _index_rows(centres: np.ndarray, rotation: np.ndarray):
 
 
 def build(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", is_stored: bool = False, sample: int = SAMPLE,
-          lists: int | None = None, part_rows: int = PART_ROWS) -> Index | None:
-    """The index of all usable vectors, fitted on at most ``sample`` of them; None if there are none."""
+          lists: int | None = None, part_rows: int = PART_ROWS, length: int | None = None) -> Index | None:
+    """The index of all usable vectors of ``length`` (the most common one), fitted on at most ``sample`` of them; None if there are none."""
     points = usable(stored(vectors, is_stored), id_col, vector_col)
+    if length is None:
+        length = next(iter(lengths(points)), 0)
+    points = points.filter(F.size("vector") == length)
     n = points.count()
     if not n:
         return None
@@ -230,3 +237,14 @@ def search(index: Index, queries: DataFrame, k: int = 10, recall: float = RECALL
     )
     place = F.row_number().over(W.partitionBy("query_row").orderBy("score", "vec_id", "row"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest(vectors: DataFrame, queries: str, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", is_stored: bool = False,
+            recall: float = RECALL) -> DataFrame:
+    """The k nearest found for each row that meets the condition ``queries`` (on ``vec_id``), among the vectors of its length."""
+    source = stored(vectors, is_stored)
+    out = source.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for length in lengths(usable(source, id_col, vector_col)):
+        index = build(source, id_col, vector_col, is_stored=True, length=length)
+        out = out.unionByName(search(index, index.table.filter(queries), k, recall))
+    return out

@@ -153,10 +153,7 @@ def op2_html_extraction(spark, sf_dir):
 
 @_query("op1_nearest_neighbours")
 def op1_nearest_neighbours(spark, sf_dir):
-    index = ann.build(_table(spark, sf_dir, "embeddings"), is_stored=True)
-    if index is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    return ann.search(index, index.table.filter("vec_id % 100 = 0"))
+    return ann.nearest(_table(spark, sf_dir, "embeddings"), "vec_id % 100 = 0", is_stored=True)
 
 
 @_query("op13_sharding")

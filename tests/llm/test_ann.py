@@ -43,6 +43,18 @@ def test_unusable_vectors_ties_and_few_candidates(spark):
     assert {g.query_id for g in got} == {0, 100}
 
 
+def test_each_length_is_searched_among_its_own(spark):
+    rng = np.random.default_rng(2)
+    points = [rng.standard_normal(3 if i % 4 == 0 else 5).tolist() for i in range(240)] + [[1.0]]
+    vectors = spark.createDataFrame([(i if i < 240 else 300, p) for i, p in enumerate(points)], "vec_id long, embedding array<double>").coalesce(2)
+    got = ann.nearest(vectors, "vec_id % 10 = 0", recall=1.0).toPandas()
+    for own in range(0, 240, 10):
+        same = np.array([i for i in range(240) if len(points[i]) == len(points[own])])
+        found = got[got.query_id == own].sort_values("rank")
+        assert list(zip(found.vec_id, found.score)) == brute(same, np.array([points[i] for i in same]), int(np.flatnonzero(same == own)[0]))
+    assert not len(got[got.query_id == 300])  # the only one of its length
+
+
 def test_a_large_group_of_equal_vectors(spark):
     rng = np.random.default_rng(0)
     points = np.vstack([np.tile(rng.standard_normal(20), (300, 1)), rng.standard_normal((600, 20))])
