@@ -16,16 +16,38 @@ MAX_SAMPLES = 1_000_000  # one packed gene row then takes 8 MB
 CELLS_PER_TASK = 4_000_000
 
 
-def norm_counts(counts: DataFrame, gene_factor: DataFrame | None = None) -> DataFrame:
+STRATA = 10
+
+
+def strata(gene_info: DataFrame, number: int = STRATA) -> DataFrame:
+    """(gene, stratum) from (gene, measure): equal shares of the genes by their measure, such as length or composition; equal measures
+    stay together, in the lower stratum."""
+    edges = quantiles(gene_info, [], "measure", {f"_e{i}": i / number for i in range(1, number)})
+    met = with_row(gene_info.where("measure IS NOT NULL"), edges.select(F.array(*[f"_e{i}" for i in range(1, number)]).alias("_edges")))
+    return met.select("gene", F.size(F.filter("_edges", lambda edge: edge < F.col("measure"))).alias("stratum"))
+
+
+def within_samples(cells: DataFrame, gene_info: DataFrame, number: int = STRATA) -> DataFrame:
+    """(gene, sample, cnt) with counts over what the upper quartile of their stratum is to that of their sample, so that genes of a kind
+    are as high as those of any other kind. Quartiles are over counts above 0; genes without a measure are left out."""
+    placed = materialize(cells.join(strata(gene_info, number), "gene"), "strata-cells")
+    positive = placed.where("cnt > 0")
+    whole = quantiles(positive, ["sample"], "cnt", {"whole": 0.75})
+    parts = quantiles(positive, ["sample", "stratum"], "cnt", {"part": 0.75}).join(whole, "sample")
+    scaled = placed.join(parts, ["sample", "stratum"], "left")
+    return scaled.select("gene", "sample", F.coalesce(F.col("cnt") / F.col("part") * F.col("whole"), F.lit(0.0)).alias("cnt"))
+
+
+def norm_counts(counts: DataFrame, gene_info: DataFrame | None = None) -> DataFrame:
     """Upper-quartile normalization: counts over the sample's upper quartile of nonzero counts, on a common scale.
 
-    The scale is the geometric mean of the quartiles over samples. ``gene_factor`` (gene, factor) divides counts first,
-    for length or composition.
+    The scale is the geometric mean of the quartiles over samples. With ``gene_info`` (gene, measure) the strata of a sample are
+    brought to one level first.
     """
     value = F.col("cnt").cast("double")
     cells = counts.select("gene", "sample", value.alias("cnt"))
-    if gene_factor is not None:
-        cells = cells.join(gene_factor, "gene").withColumn("cnt", F.col("cnt") / F.col("factor")).drop("factor")
+    if gene_info is not None:
+        cells = materialize(within_samples(cells, gene_info), "within-samples")
     quartiles = quantiles(cells.where("cnt > 0"), ["sample"], "cnt", {"uq": 0.75})
     common = quartiles.agg(F.exp(F.avg(F.log("uq"))).alias("common"))
     scaled = cells.join(with_row(quartiles, common), "sample")

@@ -148,13 +148,18 @@ def quantiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[st
     Equal values are counted before the shuffle, so a hot key costs its distinct values, not its rows.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    return counted_quantiles(counts, keys, value, probabilities, **options)
+
+
+def counted_quantiles(counts: DataFrame, keys: list[str], value: str, probabilities: dict[str, float | Column], **options) -> DataFrame:
+    """``quantiles`` of values that come with how often they occur (``_n``), one row for each; a probability may be a column."""
     ranked = running(counts, keys, [value], {"_upto": ("sum", "_n")}, **options)
     # The two positions around each probability need the group size: one row per key.
     sizes = ranked.groupBy(*keys).agg(F.max("_upto").alias("_size"))
     sized = ranked.join(sizes, keys) if keys else with_row(ranked, sizes)
     outputs = []
     for name, p in probabilities.items():
-        position = F.lit(float(p)) * (F.col("_size") - 1)
+        position = (p if isinstance(p, Column) else F.lit(float(p))) * (F.col("_size") - 1)
         low = F.min(F.when(F.col("_upto") > F.floor(position), F.col(value)))
         high = F.min(F.when(F.col("_upto") > F.ceil(position), F.col(value)))
         share = F.max(position - F.floor(position))

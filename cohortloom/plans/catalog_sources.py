@@ -8,8 +8,8 @@ from cohortloom.operators import matrix
 from cohortloom.operators.relational import pending_runs
 from cohortloom.plans.registry import query
 from cohortloom.plans.views import table, view, with_views
-from cohortloom.runtime import scratch_path, union_all
-from cohortloom.sources import readers, writers
+from cohortloom.runtime import qualified, scratch_path, union_all
+from cohortloom.sources import paged, readers, writers
 
 _SUPPLIER_SCHEMA = "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double"
 _SUPPLIER = "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier"
@@ -221,6 +221,19 @@ def scan_paged_batches(spark, sf_dir):
     )
 
 
+@query(
+    "scan_paged_source",
+    "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey > 40 AND s_suppkey <= 90",
+)
+def scan_paged_source(spark, sf_dir):
+    """Pages written and read through the data source of their own; a filter on the key leaves out the pages beyond it."""
+    paged.register(spark)
+    path = qualified(spark, scratch_path(spark, "pages"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
+    rows.repartitionByRange(4, "s_suppkey").sortWithinPartitions("s_suppkey").write.format("pages").option("path", path).option("rows_per_page", 10).mode("append").save()
+    return spark.read.format("pages").option("path", path).option("pages_per_run", 2).load().where("s_suppkey > 40 AND s_suppkey <= 90")
+
+
 @query(
     "ingest_payload_files",
     "SELECT kind, COUNT(*) AS n, CAST(SUM(s_suppkey) AS BIGINT) AS key_sum FROM supplier, "
@@ -277,12 +290,13 @@ def sink_tsv(spark, sf_dir):
 
 @query("sink_append_scores", with_views("fx_scores", "SELECT * FROM fx_scores"))
 def sink_append_scores(spark, sf_dir):
-    """Two appends of disjoint score rows make the whole history."""
+    """Two appends of disjoint score rows make the whole history; one that is tried again replaces its rows."""
     scores = view(spark, sf_dir, "fx_scores")
     path = scratch_path(spark, "scores")
     writers.append_scores(scores.where(F.col("silhouette") >= 0.05), path)
     writers.append_scores(scores.where(F.col("silhouette") < 0.05), path)
-    return spark.read.parquet(path)
+    writers.append_scores(scores.where(F.col("silhouette") >= 0.05), path)
+    return writers.read_scores(spark, path, scores.schema)
 
 
 @query("sink_sorted_result", with_views("fx_deg", "SELECT gene, run_id, log2fc FROM fx_deg ORDER BY gene"))

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+import pyarrow.fs
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme Hadoop gives it, so that tasks that open files by themselves mean the same place as Spark."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
+def opened(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """File system and path of a qualified URI; local files come as ``file:/path``, S3 under its Hadoop name."""
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        return pyarrow.fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}:{rest}")
+
+
 def materialize(df: DataFrame, name: str = "step", partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, lineage cut, survives lost executors."""
     path = scratch_path(df.sparkSession, name)

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from cohortloom.functions.scalar import RUN_ID_FORMAT
 
@@ -20,8 +23,40 @@ def write_first_column(df: DataFrame, path: str) -> None:
 
 
 def append_scores(scores: DataFrame, path: str) -> None:
-    """Add score rows; the run id comes with the rows, so two writers never collide on a clock."""
-    scores.write.mode("append").parquet(path)
+    """Add the score rows of one or more runs to the table at ``path``, all or none; rows of a run that is there already are replaced.
+
+    The rows go to a folder of their own, and a marker that names it is put in place last: until then ``read_scores`` sees the table as
+    it was, and an attempt that failed before leaves nothing behind but its folder.
+    """
+    part = uuid.uuid4().hex
+    scores.write.parquet(f"{path}/part={part}")
+    _put_text(scores.sparkSession, f"{path}/_commits/{time.time_ns():020d}", part)
+
+
+def read_scores(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The committed rows of the table, of each run those that were committed last."""
+    if not path_exists(spark, f"{path}/_commits"):
+        return spark.createDataFrame([], schema)
+    commits = spark.read.text(f"{path}/_commits", wholetext=True).select(F.input_file_name().alias("name"), "value")
+    order = sorted((row["name"].rsplit("/", 1)[-1], row["value"]) for row in commits.collect())  # one row an append
+    parts = spark.createDataFrame([(part, at) for at, (_, part) in enumerate(order)], "part string, _at long")
+    rows = spark.read.schema(StructType([*schema.fields, StructField("part", StringType())])).parquet(path).join(parts, "part")
+    last = rows.groupBy(F.col("run_id").alias("_run")).agg(F.max("_at").alias("_last"))
+    kept = rows.join(last, F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("_at") == F.col("_last")), "left_semi")
+    return kept.select(*schema.names)
+
+
+def _put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A file that is there whole or not at all: written beside its place and renamed."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    beside = hadoop.Path(target.getParent(), f"_{target.getName()}")  # readers pass over names that begin so
+    out = files.create(beside)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not files.rename(beside, target):
+        raise OSError(f"cannot rename {beside} to {target}")
 
 
 def write_sorted(df: DataFrame, path: str, by: str = "gene") -> None:

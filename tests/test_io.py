@@ -7,6 +7,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from cohortloom.operators import annotate, relational
 from cohortloom.plans import analysis, subgroup
@@ -137,6 +138,23 @@ def test_score_rows_are_appended(spark, tmp_path):
     assert {r.run_id for r in spark.read.parquet(path).collect()} == {"a", "b"}
 
 
+def test_a_run_that_is_tried_again_has_one_row(spark, tmp_path, monkeypatch):
+    """An attempt that fails between its rows and its marker leaves the table as it was."""
+    path = str(tmp_path / "scores")
+    schema = StructType.fromDDL("run_id string, silhouette double")
+    rows = lambda *values: spark.createDataFrame(list(values), schema)
+    assert writers.read_scores(spark, path, schema).collect() == []
+    writers.append_scores(rows(("a", 0.1), ("b", 0.2)), path)
+    with monkeypatch.context() as broken:
+        broken.setattr(writers, "_put_text", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError, match="lost"):
+            writers.append_scores(rows(("a", 0.3), ("c", 0.4)), path)
+    read = lambda: sorted(tuple(r) for r in writers.read_scores(spark, path, schema).collect())
+    assert read() == [("a", 0.1), ("b", 0.2)]
+    writers.append_scores(rows(("a", 0.3), ("c", 0.4)), path)
+    assert read() == [("a", 0.3), ("b", 0.2), ("c", 0.4)]
+
+
 def test_prefixed_database_table(spark):
     spark.createDataFrame([("G", "t", 1)], "g string, TYPE string, SUPPORT int").createOrReplaceTempView("COAD")
     assert readers.read_db_table(spark, "COAD").columns == ["gene", "COAD_TYPE", "COAD_SUPPORT"]
