@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +26,7 @@ from pyspark.sql.window import Window as W
 from cohortloom.llm.common import slices, step, stored
 from cohortloom.llm.tokens import rank_tokens
 from cohortloom.llm.wordhash import U, mix
-from cohortloom.runtime import scratch_path
+from cohortloom.runtime import opened, qualified, scratch_path
 
 #: Tokens of a sequence; sequences of a shard.
 LENGTH, PER_SHARD = 2048, 8192
@@ -137,7 +136,7 @@ def _write_rows(folder: str, length: int, width: int, end_mark: int, per_shard:
     stride = length * width
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = pyarrow.fs.FileSystem.from_uri(folder)
+        files, root = opened(folder)
         context = TaskContext.get()
         out, shard, temporary, done = None, None, None, {"seq": [], "slot": [], "shard": [], "position": [], "n_tokens": [], "ids_crc32": [], "doc_ids": []}
         current: list | None = None
@@ -197,8 +196,8 @@ def write_shards(docs: DataFrame, vocabulary: tuple[str, str], folder: str | Non
     kind = docs.schema[id_col].dataType
     arrow_kind = pa.int64() if kind.simpleString() == "bigint" else pa.int32() if kind.simpleString() == "int" else pa.string()
     folder = folder or scratch_path(spark, "shards")
-    files, root = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
-    folder = folder if "://" in folder else f"file://{folder}"
+    folder = qualified(spark, folder)  # without a scheme it is Spark's default file system, as for every other step
+    files, root = opened(folder)
     files.create_dir(root)
     counted = step(texts.mapInArrow(_count_rows(vocabulary), "task int, n long"), "counts")
     total = counted.agg(F.sum("n")).first()[0] or 0
@@ -220,7 +219,7 @@ def write_shards(docs: DataFrame, vocabulary: tuple[str, str], folder: str | Non
 
 def read_slots(folder: str, slot: int, number: int, length: int = LENGTH, per_shard: int = PER_SHARD, width: int = 2) -> Iterator[np.ndarray]:
     """``number`` sequences from ``slot`` on, by seeking."""
-    files, root = pyarrow.fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    files, root = opened(folder if ":" in folder else f"file:{folder}")
     stride = length * width
     for s in range(slot, slot + number):
         with files.open_input_file(_file(root, s // per_shard)) as f:

@@ -132,3 +132,14 @@ def test_shards_hold_the_corpus_and_can_be_read_from_any_slot(spark, awkward, tm
     assert np.array_equal(next(shards.read_slots(str(tmp_path), 7, 1, length, per_shard)), read[7])
     again = shards.write_shards(awkward, RANKS, str(tmp_path), length=length, per_shard=per_shard).collect()
     assert {r.slot: r.ids_crc32 for r in again}.keys() == {r.slot for r in index}
+
+
+@pytest.mark.parametrize("form", ["{}", "file:{}", "file://{}"])
+def test_shards_go_where_spark_would_put_them(spark, tmp_path, form):
+    docs = spark.createDataFrame([(i, f"text number {i} " * 40) for i in range(30)], "doc_id long, text string")
+    folder = form.format(tmp_path / "shards")
+    index = shards.write_shards(docs, RANKS, folder, length=64, per_shard=4).collect()
+    assert list((tmp_path / "shards").glob("shard-*.bin"))
+    read = list(shards.read_slots(folder, 0, len(index), 64, 4))
+    crcs = {r["slot"]: r["ids_crc32"] for r in index}
+    assert all(zlib.crc32(ids.tobytes()) == crcs[slot] for slot, ids in enumerate(read))
