@@ -1,6 +1,6 @@
 """Token ids of whole texts, with the ids of words seen before kept in the task's process.
 
-Both tokenizers treat the pieces between spaces by themselves, so a text's ids are those of its pieces in order. The pieces a
+``WordTokens`` treats the pieces between spaces by themselves, so a text's ids are those of its pieces in order. The pieces a
 process has met are kept up to ``KEPT`` of them. Ids are little-endian 32-bit numbers in ``bytes``.
 """
 
@@ -88,38 +88,24 @@ class WordTokens(_Remembered):
         return [b"".join(self._all((text or "").encode().split())) for text in texts]
 
 
-#: White space before a space: then a piece does not begin at the space.
-_GAPS = re.compile(r"\s\s")
-
-
-class RankTokens(_Remembered):
-    """A tiktoken rank file: byte-level merges, a space belongs to the word after it."""
+class RankTokens:
+    """A tiktoken rank file: byte-level merges, a space belongs to the word after it. Texts go to the library whole: where many words are met
+    once or twice, that is faster than to look each of them up."""
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
 
-        super().__init__()
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self._model = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.size = max(ranks.values()) + 1
 
-    def _ids(self, piece: str) -> bytes:
-        ids = self._model.encode_ordinary(piece)
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _new(self, piece: str) -> bytes:
-        return self._ids(" " + piece)
-
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        out = []
-        for text in texts:
-            if not text or _GAPS.search(text):
-                out.append(self._ids(text or ""))
-                continue
-            first, *rest = text.split(" ")
-            out.append(self._ids(first) + b"".join(self._all(rest)))
-        return out
+        return [np.array(self._model.encode_ordinary(text or ""), "<u4").tobytes() for text in texts]
+
+    def count(self, texts: list[str | None]) -> list[int]:
+        """How many ids each text has."""
+        return [len(self._model.encode_ordinary(text or "")) for text in texts]
 
 
 @cache
