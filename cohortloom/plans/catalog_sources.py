@@ -223,7 +223,7 @@ def scan_paged_batches(spark, sf_dir):
 
 @query(
     "scan_paged_source",
-    "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey > 40 AND s_suppkey <= 90",
+    "SELECT s_suppkey, s_name, s_nationkey, s_acctbal FROM supplier WHERE s_suppkey > 4 AND s_suppkey <= 60",
 )
 def scan_paged_source(spark, sf_dir):
     """Pages written and read through the data source of their own; a filter on the key leaves out the pages beyond it."""
@@ -231,7 +231,7 @@ def scan_paged_source(spark, sf_dir):
     path = qualified(spark, scratch_path(spark, "pages"))
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey", "s_acctbal")
     rows.repartitionByRange(4, "s_suppkey").sortWithinPartitions("s_suppkey").write.format("pages").option("path", path).option("rows_per_page", 10).mode("append").save()
-    return spark.read.format("pages").option("path", path).option("pages_per_run", 2).load().where("s_suppkey > 40 AND s_suppkey <= 90")
+    return spark.read.format("pages").option("path", path).option("pages_per_run", 2).load().where("s_suppkey > 4 AND s_suppkey <= 60")
 
 
 @query(
