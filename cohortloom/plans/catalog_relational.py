@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from cohortloom.functions import scalar
 from cohortloom.operators import diffexp, lists, matrix, ordered, relational, sampling
 from cohortloom.plans.registry import query
-from cohortloom.plans.views import table, view, with_views
-from cohortloom.runtime import union_all
+from cohortloom.plans.views import orders_view, table, view, with_views
+from cohortloom.runtime import partitions_for, union_all
 
 # ---------------------------------------------------------------- projections
 
@@ -241,8 +241,10 @@ def join_left_diff_keys(spark, sf_dir):
 
 @query("join_inner_key", with_views("fx_cox fx_survival", "SELECT c.sample, c.feature, c.x, s.os, s.os_time FROM fx_cox c JOIN fx_survival s ON c.sample = s.sample"))
 def join_inner_key(spark, sf_dir):
-    return view(spark, sf_dir, "fx_cox").select("sample", "feature", "x").join(
-        view(spark, sf_dir, "fx_survival").select("sample", "os", "os_time"), "sample"
+    # Both sides come dealt by order, so neither the groups nor the joins grow with the tables.
+    parts = partitions_for(table(spark, sf_dir, "lineitem"))
+    return orders_view(spark, sf_dir, "fx_cox", parts).select("sample", "feature", "x").join(
+        orders_view(spark, sf_dir, "fx_survival", parts).select("sample", "os", "os_time"), "sample"
     )
 
 
@@ -340,9 +342,17 @@ def join_skip_missing(spark, sf_dir):
 
 @query("agg_group_mean", with_views("fx_matrix_sparse fx_probe_map", "SELECT sample, gene, ROUND(AVG(value), 6) AS value FROM fx_matrix_sparse JOIN fx_probe_map ON feature = probe WHERE gene IS NOT NULL GROUP BY 1, 2"))
 def agg_group_mean(spark, sf_dir):
+    # fx_matrix_sparse with the numbers for names until its cells are summed: rows dealt by the numbers are grouped where they are.
+    items = table(spark, sf_dir, "lineitem")
+    parts = partitions_for(items)
+    kept = F.when(F.col("l_discount") >= 0.05, F.col("l_quantity")).otherwise(0)
+    cells = items.repartition(parts, "l_partkey", "l_suppkey").groupBy("l_suppkey", "l_partkey").agg(F.sum(kept).alias("value"))
+    matrix = cells.select(
+        F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("sample"), F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("feature"), "value"
+    )
     probes = view(spark, sf_dir, "fx_probe_map").where("gene IS NOT NULL")
-    joined = view(spark, sf_dir, "fx_matrix_sparse").join(probes, F.col("feature") == F.col("probe"))
-    return joined.groupBy("sample", "gene").agg(F.round(F.avg("value"), 6).alias("value"))
+    joined = matrix.repartition(parts, "feature").join(probes.repartition(parts, "probe"), F.col("feature") == F.col("probe"))
+    return joined.repartition(parts, "sample", "gene").groupBy("sample", "gene").agg(F.round(F.avg("value"), 6).alias("value"))
 
 
 @query("agg_group_presence", with_views("fx_variants", "SELECT DISTINCT tumor_sample_barcode, hugo_symbol, 1 AS cnt FROM fx_variants"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from cohortloom.operators import matrix
 from cohortloom.operators.relational import pending_runs
 from cohortloom.plans.registry import query
-from cohortloom.plans.views import table, view, with_views
+from cohortloom.plans.views import orders_view, table, view, with_views
 from cohortloom.runtime import qualified, scratch_path, union_all
 from cohortloom.sources import paged, readers, writers
 
@@ -291,7 +291,7 @@ def sink_tsv(spark, sf_dir):
 @query("sink_append_scores", with_views("fx_scores", "SELECT * FROM fx_scores"))
 def sink_append_scores(spark, sf_dir):
     """Two appends of disjoint score rows make the whole history; one that is tried again replaces its rows."""
-    scores = view(spark, sf_dir, "fx_scores")
+    scores = orders_view(spark, sf_dir, "fx_scores")
     path = scratch_path(spark, "scores")
     writers.append_scores(scores.where(F.col("silhouette") >= 0.05), path)
     writers.append_scores(scores.where(F.col("silhouette") < 0.05), path)

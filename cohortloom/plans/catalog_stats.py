@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators import matrix, sampling, stats, survival
 from cohortloom.plans.registry import query
-from cohortloom.plans.views import table, view, with_views
+from cohortloom.plans.views import orders_view, table, view, with_views
 
 _SCALE = "JOIN (SELECT feature, AVG(value) AS m, STDDEV_POP(value) AS s, MIN(value) AS lo, MAX(value) AS hi FROM fx_matrix GROUP BY 1) q USING (feature)"
 
@@ -114,7 +114,7 @@ def test_logrank_pvalue(spark, sf_dir):
 @query("cox_univariate_scan")
 def cox_univariate_scan(spark, sf_dir):
     """Every feature with its coefficient and likelihood-ratio p; the cut at 0.05 is the default of the operator."""
-    return survival.cox_univariate_scan(view(spark, sf_dir, "fx_cox"), "feature", "x", "os_time", "os", alpha=None)
+    return survival.cox_univariate_scan(orders_view(spark, sf_dir, "fx_cox"), "feature", "x", "os_time", "os", alpha=None)
 
 
 @query("cox_start", with_views("fx_cox", """+v AS (SELECT feature, os_time, os, x::DOUBLE AS x FROM fx_cox),
@@ -127,7 +127,7 @@ def cox_univariate_scan(spark, sf_dir):
            ROUND(SUM((s2 - l / d * d2) / (s0 - l) - POWER((s1 - l / d * d1) / (s0 - l), 2)), 4) AS info FROM e GROUP BY 1"""))
 def cox_start(spark, sf_dir):
     """Where the scan starts: the terms of the tied deaths at coefficient 0, in plain SQL next to it."""
-    found = survival.cox_start(view(spark, sf_dir, "fx_cox"), "feature", "x", "os_time", "os")
+    found = survival.cox_start(orders_view(spark, sf_dir, "fx_cox"), "feature", "x", "os_time", "os")
     return found.select("feature", F.round("loglik", 4).alias("loglik"), (F.round("score", 4) + F.lit(0.0)).alias("score"), F.round("info", 4).alias("info"))
 
 

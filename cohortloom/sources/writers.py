@@ -6,11 +6,12 @@ import time
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from cohortloom.functions.scalar import RUN_ID_FORMAT
+from cohortloom.runtime import partitions_for
 
 
 def write_tsv(df: DataFrame, path: str, compression: str | None = None) -> None:
@@ -41,8 +42,8 @@ def read_scores(spark: SparkSession, path: str, schema: StructType) -> DataFrame
     order = sorted((row["name"].rsplit("/", 1)[-1], row["value"]) for row in commits.collect())  # one row an append
     parts = spark.createDataFrame([(part, at) for at, (_, part) in enumerate(order)], "part string, _at long")
     rows = spark.read.schema(StructType([*schema.fields, StructField("part", StringType())])).parquet(path).join(parts, "part")
-    last = rows.groupBy(F.col("run_id").alias("_run")).agg(F.max("_at").alias("_last"))
-    kept = rows.join(last, F.col("run_id").eqNullSafe(F.col("_run")) & (F.col("_at") == F.col("_last")), "left_semi")
+    last = F.max("_at").over(Window.partitionBy("run_id"))
+    kept = rows.repartition(partitions_for(rows), "run_id").withColumn("_last", last).where(F.col("_at") == F.col("_last"))
     return kept.select(*schema.names)
 
 
