@@ -76,6 +76,16 @@ def test_words_are_encoded_like_whole_texts(spark, small):
     assert ranks.encode(texts) == [np.array(ranks._model.encode_ordinary(t or ""), "<u4").tobytes() for t in texts]
 
 
+def test_texts_cut_at_white_space_give_the_ids_of_whole_texts():
+    ranks, rng = RankTokens(*RANKS), np.random.default_rng(5)
+    marks = [" ", " ", " ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u2003", "\u200b", "\u3000", "a", "word", "It's", "'ll", "7", "!?", "é", "中", "<|endoftext|>"]
+    texts = ["".join(rng.choice(marks, rng.integers(0, 30))) for _ in range(3000)] + [m * n for m in marks for n in (1, 2, 3)]
+    want = [ranks._model.encode_ordinary(t) for t in texts]
+    assert ranks.encode(texts) == [np.array(ids, "<u4").tobytes() for ids in want]
+    assert ranks.count(texts) == list(map(len, want))
+    assert "(?!" not in ranks._cut._pat_str and RankTokens(RANKS[0], r"\s+|\S+")._cut is None
+
+
 def check_packing(rows, pieces):
     whole = Tokenizer.from_file(PATH)
     want = Counter()
