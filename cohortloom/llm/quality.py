@@ -32,6 +32,8 @@ LEAST = 0.5
 SHAPE_SCALE = 8.0
 #: Bytes of a word's beginning that count as a feature of their own.
 PREFIX = 5
+#: Entries (a feature of a text) that the fit works on at a time.
+ENTRIES_AT_ONCE = 1_000_000
 
 
 def features(column: pa.Array, bits: int = BITS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,14 +114,25 @@ def fit_rows(grade: np.ndarray, row: np.ndarray, feature: np.ndarray, value: np.
     size, n = 1 << bits, len(grade)
     if not n:
         return OrdinalModel(np.zeros(size), np.full(grades - 1, -30.0), bits)
-    used = np.bincount(feature, minlength=size) >= seen
+    times = np.zeros(size, np.int64)
+    for at in range(0, len(feature), ENTRIES_AT_ONCE):
+        times += np.bincount(feature[at : at + ENTRIES_AT_ONCE], minlength=size)
+    used = times >= seen
     known, number = np.flatnonzero(used), (np.cumsum(used) - 1).astype(np.int32)
     use = used[feature]
-    column, value, row = number[feature[use]], value[use], row[use]
-    counts = np.bincount(row, minlength=n)
+    counts = np.zeros(n, np.int64)
+    for at in range(0, len(row), ENTRIES_AT_ONCE):
+        some = slice(at, at + ENTRIES_AT_ONCE)
+        counts += np.bincount(row[some][use[some]], minlength=n)
+    del row
+    value, feature = value[use], feature[use]
+    column = number[feature]
+    del feature, use
     full = np.flatnonzero(counts)
     begin = (np.cumsum(counts) - counts)[full]
-    del row, use
+    # Pieces of whole texts, of about ``ENTRIES_AT_ONCE`` entries or one text: first and last of ``full``, first and last entry.
+    of_piece = np.unique((begin // ENTRIES_AT_ONCE), return_index=True)[1]
+    pieces = [(i, j, begin[i], begin[j] if j < len(full) else len(column)) for i, j in zip(of_piece, [*of_piece[1:], len(full)], strict=True)]
     share = np.clip([(grade >= k).mean() for k in range(1, grades)], 1e-3, 1 - 1e-3)
     start = -np.log(share / (1 - share))
     # Thresholds are the first one and the logs of the gaps, so they stay in order.
@@ -131,9 +144,9 @@ def fit_rows(grade: np.ndarray, row: np.ndarray, feature: np.ndarray, value: np.
 
     def loss(x: np.ndarray) -> tuple[float, np.ndarray]:
         weights = x[: len(known)]
-        score = np.zeros(n)
-        if len(full):
-            score[full] = np.add.reduceat(weights.astype(np.float32)[column] * value, begin, dtype=np.float64)
+        score, light = np.zeros(n), weights.astype(np.float32)
+        for i, j, a, b in pieces:
+            score[full[i:j]] = np.add.reduceat(light[column[a:b]] * value[a:b], begin[i:j] - a, dtype=np.float64)
         tails = 1 / (1 + np.exp(-np.clip(score[:, None] - thresholds(x)[None, :], -30, 30)))
         upper = np.where(grade > 0, np.take_along_axis(tails, np.maximum(grade - 1, 0)[:, None], 1)[:, 0], 1.0)
         lower = np.where(grade < grades - 1, np.take_along_axis(tails, np.minimum(grade, grades - 2)[:, None], 1)[:, 0], 0.0)
@@ -142,8 +155,11 @@ def fit_rows(grade: np.ndarray, row: np.ndarray, feature: np.ndarray, value: np.
         np.add.at(of_edges, np.maximum(grade - 1, 0), np.where(grade > 0, upper * (1 - upper) / chance, 0))
         np.add.at(of_edges, np.minimum(grade, grades - 2), np.where(grade < grades - 1, -lower * (1 - lower) / chance, 0))
         later = of_edges[::-1].cumsum()[::-1] / n
-        pull = np.repeat((1 - upper - lower).astype(np.float32), counts)
-        of_weights = -np.bincount(column, weights=pull * value, minlength=len(known)) / n + penalty * weights
+        pull, pulled = (1 - upper - lower).astype(np.float32), np.zeros(len(known))
+        for i, j, a, b in pieces:
+            # Added one after the other, so the sums do not hang on the pieces.
+            np.add.at(pulled, column[a:b].astype(np.intp), (np.repeat(pull[full[i:j]], counts[full[i:j]]) * value[a:b]).astype(float))
+        of_weights = -pulled / n + penalty * weights
         gaps = np.exp(np.minimum(x[len(known) + 1 :], 10))
         return float(-np.log(chance).mean() + penalty / 2 * _dot(weights, weights)), np.concatenate([of_weights, later[:1], later[1:] * gaps])
 
@@ -177,9 +193,15 @@ def _fit_task(grades: int, bits: int):
             counts.append(pa.compute.list_value_length(batch["feature"]).to_numpy().astype(np.int64))
             feature.append(pa.compute.list_flatten(batch["feature"]).to_numpy().copy())
             value.append(pa.compute.list_flatten(batch["value"]).to_numpy().copy())
-        counts = np.concatenate(counts)
-        row = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        model = fit_rows(np.concatenate(grade), row, np.concatenate(feature), np.concatenate(value), grades, bits)
+        grade, counts = np.concatenate(grade), np.concatenate(counts)
+
+        def whole(parts: list[np.ndarray]) -> np.ndarray:
+            out = np.concatenate(parts)
+            parts.clear()
+            return out
+
+        # Handed over without a name here, so that the fit can let go of them.
+        model = fit_rows(grade, np.repeat(np.arange(len(counts), dtype=np.int32), counts), whole(feature), whole(value), grades, bits)
         yield pa.RecordBatch.from_pydict({"weights": [model.weights.astype("<f8").tobytes()], "thresholds": [model.thresholds.tolist()]})
 
     return work

@@ -1,5 +1,7 @@
 """The ordinal classifier: gradient, order of thresholds, held-out accuracy."""
 
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 
@@ -56,6 +58,30 @@ def test_the_fit_is_at_its_best():
         assert loss(model.weights + 3e-2 * step, model.thresholds + 3e-2 * rng.normal(size=2)) > at - 1e-6
 
 
+def test_the_fit_works_in_pieces(monkeypatch):
+    grade, texts = made(300, 3)
+    row, feature, value = quality.features(pa.array([*texts, "", *texts[:5], ""]))
+    grade = np.concatenate([grade, [1], grade[:5], [2]])
+    whole = quality.fit_rows(grade, row, feature, value, 3)
+    for most in (1, 50, 4000):
+        monkeypatch.setattr(quality, "ENTRIES_AT_ONCE", most)
+        parted = quality.fit_rows(grade, row, feature, value, 3)
+        assert np.array_equal(parted.weights, whole.weights) and np.array_equal(parted.thresholds, whole.thresholds)
+
+
+def test_the_memory_of_the_fit():
+    n, each = 10_000, 400
+    rng = np.random.default_rng(4)
+    made_of = [np.repeat(np.arange(n, dtype=np.int32), each), rng.integers(0, 1 << quality.BITS, n * each).astype(np.int32), np.ones(n * each, np.float32)]
+    grade = rng.integers(0, 3, n)
+    tracemalloc.start()
+    try:
+        quality.fit_rows(grade, *made_of, 3, rounds=1)
+        assert tracemalloc.get_traced_memory()[1] < 22 * n * each
+    finally:
+        tracemalloc.stop()
+
+
 def ratings(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
