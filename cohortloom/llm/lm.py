@@ -11,8 +11,10 @@ again there. A text is read once from left to right; the state is the longest kn
 
 The model grows with the corpus and is never in one place. Texts are put together in chunks. Each chunk sends the hashes of its
 n-grams with their counts, sorted and cut by ranges of the hash, to the ranges' tasks, which add them up and send back the totals
-in the order received, marking one chunk as the n-gram's owner. The owners count different followers by context, and these numbers
-are added up and sent back the same way. With both, a chunk has the part of the automaton its texts can reach, and no more.
+in the order received, marking one chunk as the n-gram's owner, and those that one chunk alone holds. This goes in ``TURNS``, each with its
+share of the ranges, so that only so much of it is on disk at a time. The owners count different followers by context, and these numbers
+are added up and sent back the same way; a context of one chunk alone has all its followers there and is not sent. With both, a chunk has
+the part of the automaton its texts can reach, and no more.
 
 Null texts are empty: one token, the end. A null id counts as the empty string. Repeated rows are texts of their own; an empty table
 gives an empty result; other columns are not read.
@@ -31,9 +33,12 @@ from pyspark.sql import functions as F
 
 from cohortloom.llm.common import slices, step
 from cohortloom.llm.wordhash import U, Words, mix
+from cohortloom.runtime import union_all
 
 #: Text bytes of a chunk; n-grams of an order that a range of hashes holds, about.
 CHUNK_BYTES, RANGE_GRAMS = 3_000_000, 1_000_000
+#: Turns in which the n-grams are sent, as a power of two: what is shuffled at a time is that part of all.
+TURN_BITS = 1
 ORDER = 3
 _END, _START = (mix(np.array([x], np.uint64))[0] for x in (0x456E64, 0x537461))
 _JOIN = U(0xA0761D6478BD642F)
@@ -74,10 +79,10 @@ def _chunk_rows(most: int):
     return work
 
 
-class _Stream:
-    """Tokens of a chunk's texts, and its distinct n-grams of each order in the order of their hashes."""
+class _Tokens:
+    """Tokens of a chunk's texts."""
 
-    def __init__(self, blob: bytes, order: int):
+    def __init__(self, blob: bytes):
         table = pa.ipc.open_stream(blob).read_all()
         self.doc_id = table["doc_id"].combine_chunks()
         self.held_out = np.array([held_out(d) for d in self.doc_id.to_pylist()], bool)
@@ -90,38 +95,71 @@ class _Stream:
         self.n_tokens = counts + 1
         self.last = np.cumsum(self.n_tokens) - 1
         self.first = self.last - counts
-        tokens = np.empty(int(self.n_tokens.sum()), np.uint64)
-        ends = np.zeros(len(tokens), bool)
+        self.tokens = np.empty(int(self.n_tokens.sum()), np.uint64)
+        ends = np.zeros(len(self.tokens), bool)
         ends[self.last] = True
-        tokens[ends], tokens[~ends] = _END, np.concatenate(hashes)
-        self.starts = np.zeros(len(tokens), bool)
+        self.tokens[ends], self.tokens[~ends] = _END, np.concatenate(hashes)
+        self.starts = np.zeros(len(self.tokens), bool)
         self.starts[self.first] = True
+
+    def grams(self, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For n = 1 .. order: hash of the n-gram that ends at each token, and whether it counts as trained on."""
         train = np.repeat(~self.held_out, self.n_tokens)
-        self.keys, self.counts, self.at, self.seen_at = [], [], [], []
-        gram = tokens
+        gram = self.tokens
         for n in range(1, order + 1):
             if n > 1:
                 before = np.empty_like(gram)
                 before[1:] = gram[:-1]
                 # The first token follows the start mark; contexts do not reach beyond it.
                 before[self.first] = _START if n == 2 else U(n)
-                gram = mix(before * _JOIN + tokens)
-            use = train & ~self.starts if n > 2 else train
-            keys, seen_at, at = np.unique(gram, return_index=True, return_inverse=True)
+                gram = mix(before * _JOIN + self.tokens)
+            yield gram, train & ~self.starts if n > 2 else train
+
+
+def _sorted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the values, where that begins a new value, and the distinct values; faster than ``np.unique``, whose sort is stable."""
+    by = np.argsort(values)
+    ordered = values[by]
+    new = np.ones(len(by), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    return by, new, ordered[new]
+
+
+class _Stream(_Tokens):
+    """Tokens of a chunk's texts, and its distinct n-grams of each order in the order of their hashes."""
+
+    def __init__(self, blob: bytes, order: int):
+        super().__init__(blob)
+        self.keys, self.at, self.seen_at = [], [], []
+        for gram, _ in self.grams(order):
+            by, new, keys = _sorted(gram)
+            at = np.empty(len(by), np.int64)
+            at[by] = np.cumsum(new) - 1
             self.keys.append(keys)
-            self.seen_at.append(seen_at)
+            self.seen_at.append(by[new])
             self.at.append(at)
-            self.counts.append(np.bincount(at[use], minlength=len(keys)).astype(np.uint32))
+
+    def followers(self, got: dict[int, np.ndarray], g: int) -> tuple[np.ndarray, int]:
+        """How many different followers this chunk owns of each context with ``g`` tokens, and of the start mark."""
+        at = self.seen_at[g][(got[g] & _OWNED).astype(bool)]
+        inside = at[~self.starts[at]]
+        return np.bincount(self.at[g - 1][inside - 1], minlength=len(self.keys[g - 1])).astype(np.uint32), len(at) - len(inside)
+
+    def shared(self, got: dict[int, np.ndarray], g: int) -> np.ndarray:
+        """Which contexts with ``g`` tokens are known to the model and held by other chunks too."""
+        return (got[g - 1] >> _FLAGS > 0) & (got[g - 1] & _ALONE == 0)
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """The bytes of equal weight together: small numbers leave planes of zeros, which shuffles and files compress away."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    """How many bytes, and these compressed, those of equal weight together: small numbers leave planes of zeros, and few different bytes in others."""
+    data = values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", compression_level=1).compress(data, asbytes=True)
 
 
 def _values(data: bytes, kind) -> np.ndarray:
     width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
+    planes = pa.Codec("zstd").decompress(data[8:], int.from_bytes(data[:8], "little"), asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, -1).T).view(kind).reshape(-1)
 
 
 def _ranges(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -154,28 +192,41 @@ class _Sent:
 _SENT = "gram int, part int, keys binary, counts binary, chunk long"
 
 
-def _gram_rows(order: int, bits: int):
+def _gram_rows(order: int, bits: int, turn_bits: int, turn: int):
+    """The n-grams whose hashes begin with the bits of ``turn``."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk, blob in zip(batch["chunk"].to_pylist(), batch["texts"], strict=True):
-                stream, out = _Stream(blob.as_buffer(), order), _Sent(chunk, bits)
-                for n, (keys, counts) in enumerate(zip(stream.keys, stream.counts, strict=True)):
-                    out.add(n, keys, counts)
+                out = _Sent(chunk, bits)
+                for n, (gram, use) in enumerate(_Tokens(blob.as_buffer()).grams(order)):
+                    if turn_bits:
+                        now = gram >> U(64 - turn_bits) == U(turn)
+                        gram, use = gram[now], use[now]
+                    if len(gram):
+                        by, new, keys = _sorted(gram)
+                        out.add(n, keys, np.add.reduceat(use[by], np.flatnonzero(new), dtype=np.uint32))
                 yield pa.RecordBatch.from_pydict(out.columns())
 
     return work
 
 
+#: Low bits of what comes back, under the total: the chunk owns the n-gram; no other chunk has it.
+_OWNED, _ALONE, _FLAGS = U(1), U(2), U(2)
+
+
 def _totals(table: pa.Table) -> pa.Table:
-    """For one range of hashes: each chunk's n-grams with twice their totals over all chunks, and 1 more for the owner."""
+    """For one range of hashes: each chunk's n-grams with their totals over all chunks, and the flags below these."""
     table = table.sort_by("chunk")
     deltas = [_values(x.as_py(), np.uint64) for x in table["keys"]]
     keys = np.concatenate([np.cumsum(d, dtype=np.uint64) for d in deltas])
     counts = np.concatenate([_values(x.as_py(), np.uint32) for x in table["counts"]]).astype(np.float64)
-    known, first, at = np.unique(keys, return_index=True, return_inverse=True)
+    by, new, known = _sorted(keys)
+    at = np.empty(len(by), np.int64)
+    at[by] = np.cumsum(new) - 1
     totals = np.bincount(at, weights=counts, minlength=len(known)).astype(np.uint64)
-    both = totals[at] * U(2)
-    both[first] += (totals > 0).astype(np.uint64)
+    both = ((totals << _FLAGS) + _ALONE * (np.bincount(at, minlength=len(known)) == 1))[at]
+    both[by[new]] += _OWNED * (totals > 0)
     edges = np.cumsum([0, *map(len, deltas)])
     rows = table.num_rows
     return pa.table(
@@ -208,12 +259,11 @@ def _follower_rows(order: int, bits: int):
         stream, out = _Stream(chunks["texts"][0].as_buffer(), order), _Sent(chunks["chunk"][0].as_py(), bits)
         got = _received(totals)
         for g in range(1, order):
-            at = stream.seen_at[g][(got[g] & U(1)).astype(bool)]
-            inside = at[~stream.starts[at]]
-            followers = np.bincount(stream.at[g - 1][inside - 1], minlength=len(stream.keys[g - 1])).astype(np.uint32)
-            out.add(g - 1, stream.keys[g - 1], followers)
+            followers, at_start = stream.followers(got, g)
+            shared = stream.shared(got, g)
+            out.add(g - 1, stream.keys[g - 1][shared], followers[shared])
             if g == 1:
-                out.add(_AT_START, np.zeros(1, np.uint64), np.array([len(at) - len(inside)], np.uint32))
+                out.add(_AT_START, np.zeros(1, np.uint64), np.array([at_start], np.uint32))
         return pa.table(out.columns()).select([c.split()[0] for c in _SENT.split(", ")])
 
     return work
@@ -224,16 +274,19 @@ def _score_chunk(order: int, n: int, v: int, n_docs: int):
         stream = _Stream(chunks["texts"][0].as_buffer(), order)
         of_counts = pa.compute.equal(totals["kind"], 0)
         counts, follow = _received(totals.filter(of_counts)), _received(totals.filter(pa.compute.invert(of_counts)))
-        seen = [(counts[g] >> U(1))[stream.at[g]].astype(np.float64) for g in range(order)]
+        seen = [(counts[g] >> _FLAGS)[stream.at[g]].astype(np.float64) for g in range(order)]
         p = (seen[0] + 0.5) / (n + 0.5 * (v + 1))
         base = np.log10(p)
         score = base.copy()
         for g in range(1, order):
             context, more = np.zeros_like(p), np.ones_like(p)
             context[1:] = seen[g - 1][:-1]
-            more[1:] = (follow[g - 1] >> U(1))[stream.at[g - 1]][:-1]
+            followers, shared = stream.followers(counts, g)[0].astype(np.float64), stream.shared(counts, g)
+            if g - 1 in follow:
+                followers[shared] = follow[g - 1] >> _FLAGS
+            more[1:] = followers[stream.at[g - 1]][:-1]
             context[stream.first] = n_docs if g == 1 else 0
-            more[stream.first] = follow[_AT_START][0] >> U(1) if g == 1 else 1
+            more[stream.first] = follow[_AT_START][0] >> _FLAGS if g == 1 else 1
             state = context > 0
             more[~state] = 1
             arc = state & (seen[g] > 0) if g == 1 else state & (seen[g] > 0) & ~stream.starts
@@ -264,8 +317,13 @@ def score(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col:
     bits = max(0, ((sizes[1] or 0) // 6 // range_grams).bit_length())
     by_chunk = chunks.select("chunk", "texts").groupBy("chunk")
     columns = ["gram", "part", "chunk", "totals"]
-    grams = chunks.select("chunk", "texts").mapInArrow(_gram_rows(order, bits), _SENT)
-    counts = step(grams.groupBy("gram", "part").applyInArrow(_totals, _TOTALS), "counts")
+    turn_bits = min(bits, TURN_BITS)
+
+    def counted(turn: int) -> DataFrame:
+        grams = chunks.select("chunk", "texts").mapInArrow(_gram_rows(order, bits, turn_bits, turn), _SENT)
+        return step(grams.groupBy("gram", "part").applyInArrow(_totals, _TOTALS), "counts")
+
+    counts = union_all([counted(turn) for turn in range(1 << turn_bits)])
     n, v = counts.filter("gram = 0").agg(F.sum("tokens"), F.sum("distinct")).first()
     back = counts.select(*columns, F.lit(0).alias("kind"))
     if order > 1:

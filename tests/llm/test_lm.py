@@ -91,3 +91,21 @@ def test_registered_query_counts_triples(spark, small):
 
 def test_empty_table(nothing):
     assert lm.score(nothing).count() == 0
+
+
+def test_ngrams_go_out_in_turns_and_contexts_of_one_chunk_stay(awkward, monkeypatch):
+    def numbers(rows):
+        return sum(int.from_bytes(bytes(r.totals)[:8], "little") // 8 for r in rows if r.gram in (0, 1))
+
+    written, real = [], lm.step
+    monkeypatch.setattr(lm, "step", lambda df, name: written.append((name, real(df, name))) or written[-1][1])
+    got = lm.score(awkward, 3, chunk_bytes=3_000, range_grams=500).collect()
+    check([(r[0], r[1]) for r in awkward_rows()], got, 3)
+    sent = {}
+    for name, df in written:
+        if name in ("counts", "followers"):
+            sent.setdefault(name, []).append(df.select("gram", "part", "totals").collect())
+    first, second = sent["counts"]
+    assert not {r.part for r in first} & {r.part for r in second}
+    assert 0.7 < numbers(first) / numbers(second) < 1.4
+    assert 0 < numbers(sent["followers"][0]) < 0.7 * (numbers(first) + numbers(second))
