@@ -3,9 +3,10 @@
 The texts' token ids, each text closed by an end mark, form one stream in the order of the table, cut into sequences of fixed
 length; the last is filled up with end marks. A keyed Feistel network permutes the numbers 0 .. 2^2h - 1; numbers outside
 0 .. n - 1 are sent through it again until they fall inside (cycle-walking), so every sequence gets a slot of its own and no
-table of the order is kept anywhere. Slots are cut into ranges, one shard file each, written by one task in the order of the
+table of the order is kept anywhere. Texts are tokenized once: their ids are written compressed, with the number of ids before them in their task,
+and the sums of the tasks give each its place in the stream. Slots are cut into ranges, one shard file each, written by one task in the order of the
 slots with a fixed stride: slot s lies in file s // per_shard at byte (s % per_shard) * stride. A reader goes on from any slot
-by seeking; a writer that runs again writes the same bytes and puts them in place with one rename.
+by seeking. The shards are written in two turns, so that only half of the ids are in a shuffle at a time; a writer that runs again writes the same bytes and puts them in place with one rename.
 
 Null texts are empty and give their end mark only. Repeated rows each add their tokens; an empty table writes no shard and
 gives an empty result; other columns are not read.
@@ -26,10 +27,12 @@ from pyspark.sql.window import Window as W
 from cohortloom.llm.common import slices, step, stored
 from cohortloom.llm.tokens import rank_tokens
 from cohortloom.llm.wordhash import U, mix
-from cohortloom.runtime import opened, qualified, scratch_path
+from cohortloom.runtime import opened, qualified, scratch_path, union_all
 
 #: Tokens of a sequence; sequences of a shard.
 LENGTH, PER_SHARD = 2048, 8192
+#: Turns in which the shards are written.
+TURNS = 2
 ROUNDS = 6
 ROW = "seq long, slot long, shard int, position long, n_tokens int, ids_crc32 long, doc_ids array<%s>"
 
@@ -72,57 +75,55 @@ def _encoded(part: pa.RecordBatch, vocabulary: tuple[str, str]) -> tuple[list[np
     return [np.concatenate([np.frombuffer(ids, "<u4"), end]) for ids in encoder.encode(part["text"].to_pylist())]
 
 
-def _count_rows(vocabulary):
+def _id_rows(vocabulary, kind: pa.DataType):
+    """The ids of a slice of texts, compressed, with the ids before them in the task and the length of each text."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = 0
+        task, before = TaskContext.get().partitionId(), 0
+        codec = pa.Codec("zstd", compression_level=3)
         for part in slices(batches):
-            total += sum(n + 1 for n in rank_tokens(*vocabulary).count(part["text"].to_pylist()))
-        yield pa.RecordBatch.from_pydict({"task": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([total], pa.int64())})
+            fresh = _encoded(part, vocabulary)
+            ids = np.concatenate(fresh).astype("<u2" if rank_tokens(*vocabulary).size < 65_536 else "<u4")
+            columns = {
+                "task": pa.array([task], pa.int32()), "before": pa.array([before], pa.int64()), "n": pa.array([len(ids)], pa.int64()),
+                "ids": pa.array([codec.compress(ids.tobytes(), asbytes=True)], pa.binary()),
+                "lengths": pa.array([[len(x) for x in fresh]], pa.list_(pa.int64())), "docs": pa.array([part["doc_id"].to_pylist()], pa.list_(kind)),
+            }
+            yield pa.RecordBatch.from_pydict(columns)
+            before += len(ids)
 
     return work
 
 
-def _part_rows(vocabulary, order: Order, length: int, per_shard: int, kind: pa.DataType):
-    """Pieces of sequences: whole ones, but for the first and last of a task."""
+def _part_rows(order: Order, length: int, width: int, per_shard: int, kind: pa.DataType, turns: int, turn: int):
+    """Pieces of the sequences whose shards have this turn: whole ones, but for the first and last of a slice."""
 
-    def rows(ids: np.ndarray, begin: int, firsts: list[int], docs: list) -> pa.RecordBatch:
+    def rows(ids: np.ndarray, begin: int, firsts: np.ndarray, docs: list) -> pa.RecordBatch:
         edges = np.unique(np.concatenate([[0], np.arange(-begin % length, len(ids), length), [len(ids)]]))
         seq = (begin + edges[:-1]) // length
         slot = order.slots(seq)
         owner_from = np.searchsorted(firsts, begin + edges[:-1], "right") - 1
         owner_to = np.searchsorted(firsts, begin + edges[1:], "left")
+        now = np.flatnonzero(slot // per_shard % turns == turn)
+        seq, slot, owner_from, owner_to = seq[now], slot[now], owner_from[now], owner_to[now]
+        starts, ends = edges[:-1][now], edges[1:][now]
         return pa.RecordBatch.from_pydict(
             {
                 "shard": pa.array((slot // per_shard).astype(np.int32)), "slot": pa.array(slot), "seq": pa.array(seq),
-                "at": pa.array(((begin + edges[:-1]) % length).astype(np.int32)),
-                "ids": pa.array([ids[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()),
-                "doc_ids": pa.array([docs[max(a, 0) : b] for a, b in zip(owner_from, owner_to, strict=True)], pa.list_(kind)),
+                "at": pa.array(((begin + starts) % length).astype(np.int32)),
+                "ids": pa.array([ids[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
+                "doc_ids": pa.array([docs[a:b] for a, b in zip(owner_from, owner_to, strict=True)], pa.list_(kind)),
             }
         )
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = base = None
-        held, firsts, docs = np.zeros(0, "<u2"), [], []
-        for part in slices(batches):
-            if at is None:
-                if part["task"][0].as_py() != TaskContext.get().partitionId():
-                    raise RuntimeError("the table was dealt out anew between two readings; write it first (is_stored=False)")
-                at = base = part["base"][0].as_py()
-            fresh = _encoded(part, vocabulary)
-            for ids, doc in zip(fresh, part["doc_id"].to_pylist(), strict=True):
-                firsts.append(at)
-                docs.append(doc)
-                at += len(ids)
-            held = np.concatenate([held, *fresh]).astype("<u2" if rank_tokens(*vocabulary).size < 65_536 else "<u4")
-            begin = at - len(held)
-            whole = max(0, at // length * length - begin)
-            if whole:
-                yield rows(held[:whole], begin, firsts, docs)
-                held = held[whole:]
-                keep = max(0, int(np.searchsorted(firsts, at - len(held), "right")) - 1)
-                firsts, docs = firsts[keep:], docs[keep:]
-        if len(held):
-            yield rows(held, at - len(held), firsts, docs)
+        codec = pa.Codec("zstd")
+        for batch in batches:
+            for row in range(batch.num_rows):
+                begin, n = batch["base"][row].as_py() + batch["before"][row].as_py(), batch["n"][row].as_py()
+                ids = np.frombuffer(codec.decompress(batch["ids"][row].as_buffer(), decompressed_size=n * width, asbytes=True), f"<u{width}")
+                ends = begin + np.cumsum(batch["lengths"][row].values.to_numpy())
+                yield rows(ids, begin, np.concatenate([[begin], ends[:-1]]), batch["docs"][row].as_py())
 
     return work
 
@@ -174,7 +175,7 @@ def _write_rows(folder: str, length: int, width: int, end_mark: int, per_shard:
                         out = files.open_output_stream(temporary)
                     current = [slot, seq, bytearray(), []]
                 current[2] += data
-                current[3] += [d for d in docs if not current[3] or d != current[3][-1]]
+                current[3] += docs  # pieces end where texts or sequences do, so no text is in two pieces of a sequence
             if done["seq"]:
                 yield rows()
         close_sequence()
@@ -199,22 +200,30 @@ def write_shards(docs: DataFrame, vocabulary: tuple[str, str], folder: str | Non
     folder = qualified(spark, folder)  # without a scheme it is Spark's default file system, as for every other step
     files, root = opened(folder)
     files.create_dir(root)
-    counted = step(texts.mapInArrow(_count_rows(vocabulary), "task int, n long"), "counts")
+    held = f"task int, before long, n long, ids binary, lengths array<bigint>, docs array<{kind.simpleString()}>"
+    encoded = step(texts.mapInArrow(_id_rows(vocabulary, arrow_kind), held), "ids")
+    counted = step(encoded.groupBy("task").agg(F.sum("n").alias("n")), "counts")
     total = counted.agg(F.sum("n")).first()[0] or 0
     size, end_mark = -(-total // length), rank_tokens(*vocabulary).size
     width = 2 if end_mark < 65_536 else 4
     shards = max(1, -(-size // per_shard))
     # One row for each task of the reading: 16 bytes for every file split.
     bases = counted.select("task", (F.sum("n").over(W.orderBy("task").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")).alias("base"))
-    based = texts.withColumn("task", F.spark_partition_id()).join(F.broadcast(bases), "task")
+    based = encoded.join(F.broadcast(bases), "task")
     order = Order(max(size, 1), key)
-    parts = based.mapInArrow(
-        _part_rows(vocabulary, order, length, per_shard, arrow_kind),
-        f"shard int, slot long, seq long, at int, ids binary, doc_ids array<{kind.simpleString()}>",
-    )
-    dealt = parts.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot", "at")
-    written = dealt.mapInArrow(_write_rows(folder, length, width, end_mark, per_shard, arrow_kind), ROW % kind.simpleString())
-    return step(written, "shard-index")
+    turns = min(TURNS, shards)
+
+    def written(turn: int) -> DataFrame:
+        parts = based.mapInArrow(
+            _part_rows(order, length, width, per_shard, arrow_kind, turns, turn),
+            f"shard int, slot long, seq long, at int, ids binary, doc_ids array<{kind.simpleString()}>",
+        )
+        mine = (shards - turn - 1) // turns + 1
+        dealt = parts.repartitionById(mine, F.floor(F.col("shard") / F.lit(turns)).cast("int")).sortWithinPartitions("slot", "at")
+        rows = dealt.mapInArrow(_write_rows(folder, length, width, end_mark, per_shard, arrow_kind), ROW % kind.simpleString())
+        return step(rows, "shard-index")
+
+    return union_all([written(turn) for turn in range(turns)])
 
 
 def read_slots(folder: str, slot: int, number: int, length: int = LENGTH, per_shard: int = PER_SHARD, width: int = 2) -> Iterator[np.ndarray]:
