@@ -351,9 +351,5 @@ def pending_work(spark, sf_dir):
 def manifest_verify(spark, sf_dir):
     """The given tables' own files against a manifest made from them; every file must come out validated."""
     files = spark.read.format("binaryFile").load(f"{sf_dir}/*.parquet")
-    manifest = files.select(
-        F.element_at(F.split("path", "/"), -1).alias("filename"),
-        F.md5("content").alias("md5"),
-        F.col("length").alias("size"),
-    )
+    manifest = readers.file_digests(files)
     return readers.verify_manifest(files, manifest).select("filename", "md5", "size", "state")

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortloom.functions.scalar import interaction_text, null_if_nan, text_or_list
 from cohortloom.operators.lists import first_per_key
+from cohortloom.runtime import opened, union_all
 
 INTERACTION_SCHEMA = (
     "matchedTerms array<struct<geneName:string, geneCategories:array<struct<name:string>>, "
@@ -189,16 +194,55 @@ def read_db_query(spark: SparkSession, text: str, bounds: tuple[str, int, int, i
     return spark.read.format("jdbc").options(**jdbc_options(f"({text}) AS q", bounds, **jdbc)).load() if jdbc else spark.sql(text)
 
 
+#: Bytes of a file that a task holds at a time while it takes the digest.
+DIGEST_BYTES = 8_000_000
+
+
+def file_digests(files: DataFrame) -> DataFrame:
+    """(filename, md5, size) of the files of a ``binaryFile`` frame, each gone through in pieces by one task.
+
+    Tasks open the files by their paths. In a store that they cannot open (the driver tries one file of each), Spark reads the content, a file at once.
+    """
+    name, store = F.element_at(F.split("path", "/"), -1).alias("filename"), F.regexp_extract("path", "^[^/]*(//[^/]*)?", 0)
+    first = files.groupBy(store.alias("store")).agg(F.min("path").alias("path")).collect()  # a row for each store
+    closed = [row["store"] for row in first if not _opens(row["path"])]
+    parts = []
+    if len(closed) < len(first) or not first:
+        listed = files.where(~store.isin(closed)) if closed else files
+        parts.append(listed.select("path", name, "length").mapInArrow(_digests, "filename string, md5 string, size long"))
+    if closed:
+        parts.append(files.where(store.isin(closed)).select(name, F.md5("content").alias("md5"), F.col("length").alias("size")))
+    return union_all(parts)
+
+
+def _opens(path: str) -> bool:
+    try:
+        where, at = opened(path)
+        with where.open_input_stream(at, compression=None):
+            return True
+    except (OSError, ValueError, NotImplementedError):
+        return False
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        seen = []
+        for path in batch["path"].to_pylist():
+            where, at = opened(path)
+            digest, piece = hashlib.md5(usedforsecurity=False), bytearray(DIGEST_BYTES)
+            with where.open_input_stream(at, compression=None) as stream:
+                while n := stream.readinto(piece):
+                    digest.update(memoryview(piece)[:n])
+            seen.append(digest.hexdigest())
+        yield pa.RecordBatch.from_arrays([batch["filename"], pa.array(seen, pa.string()), batch["length"]], ["filename", "md5", "size"])
+
+
 def verify_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Manifest rows with the state of their file: validated, missing, or wrong size or content.
 
     ``files`` comes from the ``binaryFile`` reader; only digest and length leave the scan.
     """
-    seen = files.select(
-        F.element_at(F.split("path", "/"), -1).alias("filename"),
-        F.md5("content").alias("seen_md5"),
-        F.col("length").alias("seen_size"),
-    )
+    seen = file_digests(files).select("filename", F.col("md5").alias("seen_md5"), F.col("size").alias("seen_size"))
     state = (
         F.when(F.col("seen_md5").isNull(), "missing")
         .when(F.col("seen_size") != F.col("size"), "wrong size")

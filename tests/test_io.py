@@ -110,6 +110,28 @@ def test_manifest_states(spark, tmp_path):
     assert states == {"good": "validated", "short": "wrong size", "other": "wrong content", "gone": "missing"}
 
 
+def test_digests_of_files_that_no_task_holds_whole(spark, tmp_path, monkeypatch):
+    """Files over the limit of a content column, packed ones as they lie there, and those in a store that only Spark opens."""
+    texts = {"one two": b"abcdefghij" * 3, "packed.gz": gzip.compress(b"some text")}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text)
+    expected = {(name, hashlib.md5(text).hexdigest(), len(text)) for name, text in texts.items()}
+    monkeypatch.setattr(readers, "DIGEST_BYTES", 7)
+    limit = "spark.sql.sources.binaryFile.maxLength"
+    spark.conf.set(limit, 2)
+    try:
+        files = spark.read.format("binaryFile").load(str(tmp_path))
+        manifest = readers.file_digests(files)
+        assert {tuple(row) for row in manifest.collect()} == expected
+        assert {r.state for r in readers.verify_manifest(files, manifest).collect()} == {"validated"}
+    finally:
+        spark.conf.unset(limit)
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.shelf.link./in", f"file://{tmp_path}")
+    away = spark.read.format("binaryFile").load("viewfs://shelf/in")
+    assert {tuple(row) for row in readers.file_digests(away).collect()} == expected
+    assert readers.file_digests(files.where("length > 1000")).count() == 0
+
+
 def test_snapshot_is_built_once_and_again_if_unfinished(spark, tmp_path):
     calls = []
 
